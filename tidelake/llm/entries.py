@@ -28,9 +28,78 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import jaccard
+
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.link_components(documents, Scratch(spark, "op3"), width=3, percent=90)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelake.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.decode(bpe.encode(documents, path, keep_text=False), path)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import repeats
+
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = repeats.deduplicate(documents, Scratch(spark, "op5"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import warczip
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warczip.round_trip(pages, Scratch(spark, "op6"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import epsgrid
+
+    embeddings = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return epsgrid.near_duplicates(embeddings, Scratch(spark, "op8"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import hnsw
+
+    embeddings = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = embeddings.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return hnsw.nearest(embeddings, queries, Scratch(spark, "op9"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm import sitestyle
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = sitestyle.extract(pages, Scratch(spark, "op10"))
+    return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_bpe": op4_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_warc_zip": op6_warc_zip,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_nearest": op9_nearest,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
