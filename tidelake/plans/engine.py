@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidelake.functions import ieee
 from tidelake.functions.ieee import NAN, num
 from tidelake.model import LOOKBACK_MS, Grid, Store
-from tidelake.operators import aggregations, classic, matching, ranges, selectors
+from tidelake.operators import aggregations, classic, histograms, matching, ranges, selectors
 from tidelake.operators import labels as L
 from tidelake.operators.labels import java_regex
 from tidelake.plans.ast import (
@@ -127,6 +127,12 @@ class Engine:
             out = out.orderBy(*_order(e))
         return out
 
+    def histogram_query(self, text: str, start: int, end: int, step: int) -> DataFrame:
+        """(step, metric, labels, h) of an expression whose values are native histograms."""
+        grid = Grid(start, end, step)
+        e = self._pin(parse(text, self.options.experimental), grid)
+        return self.histograms(e, grid).select("step", "metric", "labels", "h")
+
     def _result(self, e: Expr, grid: Grid) -> DataFrame:
         e = self._pin(e, grid)
         if e.kind == SCALAR:
@@ -344,11 +350,82 @@ class Engine:
             return self._label_join(self.vector(args[0], grid), *(_strip(a).value for a in args[1:]))
         if f == "histogram_quantile":
             s = self.scalar(args[0], grid)
-            return Vector(classic.histogram_quantile(s.attach(self.vector(args[1], grid).df), s.column), True)
+            out = classic.histogram_quantile(s.attach(self.vector(args[1], grid).df), s.column)
+            if self.store.has_histograms:
+                native = s.attach(self.histograms(args[1], grid)).withColumn("v", histograms.quantile(F.col("h"), s.column))
+                out = out.unionByName(native.withColumn("metric", F.lit(None).cast("string")).select(out.columns))
+            return Vector(out, True)
+        if f == "histogram_fraction":
+            low, high = self.scalar(args[0], grid), self.scalar(args[1], grid)
+            df = high.attach(low.attach(self.histograms(args[2], grid)))
+            return self._unnamed(Vector(df), df.withColumn("v", histograms.fraction(F.col("h"), low.column, high.column)))
+        if f in histograms.STATISTICS:
+            df = self.histograms(args[0], grid)
+            return self._unnamed(Vector(df), df.withColumn("v", histograms.STATISTICS[f](F.col("h"))))
         if f == "info":
             return self._info(e, grid)
         raise QueryError(f"function {f!r} needs native histograms, which the store does not hold")
 
+    def histograms(self, e: Expr, grid: Grid) -> DataFrame:
+        """(step, key, labels, metric, h) of an expression over native histograms; samples that
+        are plain numbers take no part."""
+        if not self.store.has_histograms:
+            raise QueryError(f"{e}: the store holds no native histograms")
+        frame = ["step", "key", "labels", "metric", "h"]
+        unnamed = F.lit(None).cast("string")
+        if isinstance(e, Paren):
+            return self.histograms(e.expr, grid)
+        if isinstance(e, Selector):
+            at, lookback = self._at(e, grid), self.options.lookback
+            rows = selectors.select_samples(self.store, e.matchers, at.start - lookback, at.last)
+            found = self._labelled(e)(selectors.instant(rows, at, lookback, ["series_id"]))
+            return self._moved(found.where("h is not null"), e, grid).select(frame)
+        if isinstance(e, Unary):
+            df = self.histograms(e.expr, grid)
+            return df if e.op == "+" else df.withColumn("h", histograms.scale(F.col("h"), num(-1.0))).withColumn("metric", unnamed)
+        if isinstance(e, Aggregate) and e.op in ("sum", "avg"):
+            df = aggregations.grouped(self.histograms(e.expr, grid), e.grouping, e.without)
+            out = histograms.sum_by(df.select("step", "gkey", "gmetric", "h"), ["step", "gkey", "gmetric"], e.op == "avg")
+            return out.select("step", F.col("gkey").alias("key"), L.from_key(F.col("gkey")).alias("labels"), F.col("gmetric").alias("metric"), "h")
+        if isinstance(e, Binary) and e.op in ("*", "/") and SCALAR in (e.left.kind, e.right.kind):
+            flipped = e.left.kind == SCALAR
+            if flipped and e.op == "/":
+                raise QueryError("a number cannot be divided by a histogram")
+            s = self.scalar(e.left if flipped else e.right, grid)
+            df = s.attach(self.histograms(e.right if flipped else e.left, grid))
+            h = (histograms.scale if e.op == "*" else histograms.divide_by)(F.col("h"), s.column)
+            return df.withColumn("h", h).withColumn("metric", unnamed).select(frame)
+        if isinstance(e, Binary) and e.op in ("+", "-") and e.matching.group is None:
+            left, right = self.histograms(e.left, grid), self.histograms(e.right, grid)
+            sig = lambda df: df.withColumn("sig", matching.signature(F.col("labels"), e.matching))
+            right = sig(right).select("step", "sig", F.col("h").alias("other"))
+            names = tuple(n for n in e.matching.labels if n != "__name__")
+            both = sig(left).join(right, ["step", "sig"])
+            labels = L.only(F.col("labels"), names) if e.matching.on else L.without(F.col("labels"), names)
+            both = both.withColumn("h", histograms.combine(F.col("h"), F.col("other"), 1.0 if e.op == "+" else -1.0)).where("h is not null")
+            return both.withColumn("labels", labels).withColumn("key", L.key(F.col("labels"))).withColumn("metric", unnamed).select(frame)
+        if isinstance(e, Call) and e.func in ("rate", "increase", "delta") and isinstance(_strip(e.args[0]), Selector):
+            return self._histogram_increase(e.func, _strip(e.args[0]), grid).select(frame)
+        raise QueryError(f"not an expression over native histograms: {e}")
+
+    def _histogram_increase(self, func: str, e: Selector, grid: Grid) -> DataFrame:
+        """As for numbers: the change between the first and the last histogram of a window,
+        extrapolated to its edges; the points of a window are an array, which the range bounds."""
+        at = self._at(e, grid)
+        rows = selectors.select_samples(self.store, e.matchers, at.start - e.range, at.last)
+        rows = rows.where("not stale") if self.store.has_stale else rows
+        plain = F.max(F.col("f").isNotNull() & F.col("h").isNull())
+        found = selectors.in_windows(rows.select("series_id", "ts", "f", "h"), at, e.range).groupBy("series_id", "step")
+        found = found.agg(F.array_sort(F.collect_list(F.struct("ts", "h"))).alias("p"), plain.alias("mixed")).where("size(p) > 1 and not mixed")
+        first, last = F.element_at("p", 1)["ts"], F.element_at("p", -1)["ts"]
+        sampled = (last - first) / 1000.0
+        each = sampled / (F.size("p") - 1)
+        start, end = (first - (F.col("step") - e.range)) / 1000.0, (F.col("step") - last) / 1000.0
+        reach = lambda gap: F.when(gap >= each * 1.1, each / 2).otherwise(gap)
+        factor = (sampled + reach(start) + reach(end)) / sampled / (e.range / 1000.0 if func == "rate" else 1.0)
+        found = found.withColumn("h", histograms.scale(histograms.increase(F.col("p"), func != "delta"), factor)).where("h is not null")
+        return self._moved(self._labelled(e)(found), e, grid).withColumn("metric", F.lit(None).cast("string"))
+
     def _over_range(self, e: Call, grid: Grid) -> Vector:
         r = self._range(next(a for a in e.args if a.kind == MATRIX), grid)
         params = [self.scalar(a, r.grid) for a in e.args if a.kind == SCALAR]
