@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,12 @@ class Scratch:
             _remove(self.spark, f"{self.root}/{name}")
 
 
+def release(scratch: Scratch) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to."""
+    gc.collect()
+    scratch.spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
