@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from tidelake.llm import kernels
 from tidelake.llm.components import connected_components
-from tidelake.session import Scratch
+from tidelake.session import Scratch, release
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+BITMAP = 1024
 _U = np.uint64
 
 
@@ -49,29 +50,34 @@ def _shingle_rows(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.n
 def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
     """How often shingles of each sketch slot occur in all texts, as a base-2 logarithm.
 
-    The sketch has 2**SKETCH_BITS slots whatever the input; it only orders shingles, so
-    a slot that many share costs time, never a link."""
+    The sketch has 2**SKETCH_BITS slots whatever the input, and a shingle counts where it
+    occurs again in its batch of rows.  It only orders shingles, so what it does not
+    tell apart costs time, never a link."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             data, offsets = kernels.string_buffers(batch.column(0))
+            runs = [np.zeros(0, np.uint64)]
             for i, j in kernels.slices(offsets):
                 h, bounds = kernels.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                run, _ = kernels.shingles(h, bounds, width)
-                total += np.bincount((run >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                runs.append(kernels.shingles(h, bounds, width)[0])
+            run, n = np.unique(np.concatenate(runs), return_counts=True)
+            slot = (run[n > 1] >> _U(64 - SKETCH_BITS)).astype(np.int64)
+            total += np.bincount(slot, n[n > 1], 1 << SKETCH_BITS).astype(np.int64)
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
 
     counted = documents.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # one row for each slot at most
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    levels[table.column("slot").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint8)
+    levels[table.column("slot").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint8) + 1
     return levels
 
 
 def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, rk, n, s1, s2, prefix): rk identifies the text, s1 and s2 the set."""
+    """(doc_id, rk, n, s1, s2, prefix, bits): rk identifies the text, s1 and s2 the set;
+    bits has a bit set for the hash of each element."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,6 +96,9 @@ def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray)
                     np.cumsum(kernels.mix(h ^ _U(salt)), out=running[1:])
                     sums.append(pa.array((running[first[1:]] - running[first[:-1]]).view(np.int64)))
                 cuts = np.append(0, np.cumsum(keep)).astype(np.int32)
+                marks = np.zeros((j - i, BITMAP), dtype=bool)
+                marks[owner, (h & _U(BITMAP - 1)).astype(np.int64)] = True
+                bits = pa.array(np.packbits(marks).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[i:j],
@@ -97,13 +106,14 @@ def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray)
                         pa.array(n.astype(np.int64)),
                         *sums,
                         pa.ListArray.from_arrays(cuts, pa.array(prefix.view(np.int64))),
+                        pa.FixedSizeListArray.from_arrays(bits, BITMAP // 64).cast(pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "rk", "n", "s1", "s2", "prefix"],
+                    ["doc_id", "rk", "n", "s1", "s2", "prefix", "bits"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     source = documents.select("doc_id", "text", _text_key().alias("rk"))
-    return source.mapInArrow(extract, f"doc_id {kind}, rk long, n long, s1 long, s2 long, prefix array<long>")
+    return source.mapInArrow(extract, f"doc_id {kind}, rk long, n long, s1 long, s2 long, prefix array<long>, bits array<long>")
 
 
 def _text_key() -> Column:
@@ -117,12 +127,28 @@ def _fits(percent: int, n: str, i: str, m: str, j: str) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
+def _possible(percent: int) -> Column:
+    """The bitmaps allow the needed overlap: a bit that one set alone has is an element that
+    the other lacks."""
+    alone = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c
+    )
+    most = F.least(F.col("na") - alone("ba", "bb"), F.col("nb") - alone("bb", "ba"))
+    return most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+
 def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
-    candidates = scratch.write(candidates.distinct(), f"{name}-candidates")
+    candidates = scratch.write(candidates.distinct(), f"{name}-offered")
+    side = lambda x: members.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    candidates = candidates.join(side("a"), "a").join(side("b"), "b").where(_possible(percent)).select("a", "b")
+    candidates = scratch.write(candidates, f"{name}-candidates")
     ids = candidates.select(F.col("a").alias("cid")).unionByName(candidates.select(F.col("b").alias("cid"))).distinct()
-    needed = scratch.write(members.join(ids, "cid", "left_semi").select("cid", "rk"), f"{name}-needed")
-    texts = documents.select("text", _text_key().alias("rk")).join(needed, "rk").select("cid", "text")
+    needed = members.join(scratch.write(ids, f"{name}-ids"), "cid", "left_semi").select("cid", "rk", F.col("low").alias("doc_id"))
+    needed = scratch.write(needed, f"{name}-needed")
+    release(scratch)
+    same = documents["doc_id"].eqNullSafe(needed["doc_id"]) & (_text_key() == needed["rk"])
+    texts = documents.select("doc_id", "text").join(needed, same).select("cid", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +157,17 @@ def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, wid
                 sets = pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("cid")[i:j], sets], ["cid", "elements"])
 
-    sets = texts.mapInArrow(extract, "cid long, elements array<long>")
-    sets = scratch.write(sets.groupBy("cid").agg(F.first("elements").alias("elements")), f"{name}-sets")
+    sets = scratch.write(texts.mapInArrow(extract, "cid long, elements array<long>"), f"{name}-sets")
+    release(scratch)
+    if sets.count() > needed.count():  # rows that repeat a doc_id and its text
+        sets = scratch.write(sets.groupBy("cid").agg(F.first("elements").alias("elements")), f"{name}-once")
     pairs = candidates.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea")), "a")
     pairs = pairs.join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb")), "b")
     both = F.size(F.array_intersect("ea", "eb"))
     pairs = pairs.where(both * (100 + percent) >= (F.size("ea") + F.size("eb")) * percent).select("a", "b")
     links = scratch.write(pairs, f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-needed", f"{name}-candidates")
+    scratch.drop(*[f"{name}-{t}" for t in ("sets", "once", "needed", "ids", "candidates", "offered")])
+    release(scratch)
     return links
 
 
@@ -153,15 +182,23 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     levels = frequency_levels(documents, width)
     rows = prefixes(documents, width, percent, levels)
     rows = rows.withColumn("cid", F.xxhash64("n", "s1", "s2")).withColumn("gid", F.xxhash64("n", "prefix"))
-    rows = scratch.write(rows.select("doc_id", "rk", "n", "cid", "gid", "prefix"), "rows")
+    rows = scratch.write(rows.select("doc_id", "rk", "n", "cid", "gid", "prefix", "bits"), "rows")
     some = rows.where("n > 0")
-    members = scratch.write(some.groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("low"), F.min("rk").alias("rk")), "members")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("x")
+    members = some.groupBy("cid", "gid", "n").agg(low, F.first("bits").alias("bits"))
+    members = scratch.write(members.select("cid", "gid", "n", F.col("x.doc_id").alias("low"), F.col("x.rk").alias("rk"), "bits"), "members")
     groups = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cid").alias("lead"), F.max("cid").alias("other"))
     groups = scratch.write(groups, "groups")
+    rows = scratch.write(rows.select("doc_id", "n", "cid"), "slim")
+    scratch.drop("rows")
+    release(scratch)
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "gid")).alias("first"))
     tokens = scratch.write(tokens.where("c > 1").select("token", F.col("first.gid").alias("lgid"), F.col("first.n").alias("ln"), F.col("first.pos").alias("lpos")), "tokens")
     listed = scratch.write(postings.join(tokens, "token"), "listed")
+    groups = scratch.write(groups.drop("prefix"), "leads")
+    scratch.drop("groups", "tokens")
+    release(scratch)
 
     # Star round.
     star = listed.where("gid <> lgid").where(_fits(percent, "n", "pos", "ln", "lpos")).select(F.col("gid").alias("x"), F.col("lgid").alias("y"))
@@ -188,11 +225,12 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     rest = left.join(right, (left["token"] == right["token"]) & F.expr("gid_x < gid_y") & ~settled & _fits(percent, "n_x", "pos_x", "n_y", "pos_y"))
     rest = rest.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct()
     rest = scratch.write(rest.unionByName(spans.where("lo < hi").select(F.col("gid").alias("x"), F.col("gid").alias("y"))), "rest")
+    scratch.drop("listed", "open-lists", "divided", "divided-lists", "star")
+    release(scratch)
     slim = placed.select("gid", "cid", "comp")
     pairs = rest.join(slim.select(F.col("gid").alias("x"), F.col("cid").alias("a"), F.col("comp").alias("ca")), "x")
     pairs = pairs.join(slim.select(F.col("gid").alias("y"), F.col("cid").alias("b"), F.col("comp").alias("cb")), "y")
     pairs = pairs.where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.distinct().join(scratch.spark.read.schema(links.schema).parquet(scratch.path("star-links")), ["a", "b"], "left_anti")
     more = _verify(pairs, documents, members, width, percent, scratch, "rest")
     found = connected_components(links.unionByName(more), scratch, "components")
 

@@ -26,7 +26,6 @@ equal ones on the next step, with its weight.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.llm.kernels import mix, slices, string_buffers
-from tidelake.session import Scratch
+from tidelake.session import Scratch, release
 
 GRAM = 24
 SPAN = 256
@@ -251,12 +250,6 @@ def repeated_starts(documents: DataFrame, scratch: Scratch, length: int = 400) -
     return spans
 
 
-def release(scratch: Scratch) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to."""
-    gc.collect()
-    scratch.spark.sparkContext._jvm.System.gc()
-
-
 def _merge(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Spans of starts (lo, hi) as the disjoint, separate byte runs [begin, end) under their strings."""
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
