@@ -15,7 +15,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,50 +23,67 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
+from tokenizers.pre_tokenizers import Split
 
-_KEPT = 200_000
+_KEPT = 400_000
+# str.split takes these four for white space, the file's pattern does not.
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
 
-def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges (pair -> (rank, symbol)) until no adjacent pair has one."""
+_SHIFT = 20  # a pair of symbols as one integer
+_NONE = 1 << 62
+
+
+def merge_symbols(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """Apply merges (pair as `pair()` gives it -> (rank, symbol)) until no adjacent pair has one."""
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
-    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-    none = 1 << 62
-    width = 1 << (n - 1).bit_length()
-    tree = [none] * (2 * width)
-
-    def leaf(k: int) -> int:
-        got = ranks.get((symbols[k], symbols[right[k]])) if right[k] < n else None
-        return none if got is None else got[0] * n + k
-
-    def put(k: int, value: int) -> None:
-        at = width + k
-        tree[at] = value
-        at >>= 1
-        while at:
-            a, b = tree[2 * at], tree[2 * at + 1]
-            tree[at] = a if a < b else b
-            at >>= 1
-
+    find = ranks.get
+    leaves = []
     for k in range(n - 1):
-        tree[width + k] = leaf(k)
+        got = find(symbols[k] << _SHIFT | symbols[k + 1])
+        leaves.append(_NONE if got is None else got[0] * n + k)
+    if min(leaves) == _NONE:
+        return symbols
+    symbols = list(symbols)
+    width = 1 << (n - 2).bit_length()
+    tree = [_NONE] * width + leaves + [_NONE] * (width - n + 1)
     for at in range(width - 1, 0, -1):
         a, b = tree[2 * at], tree[2 * at + 1]
         tree[at] = a if a < b else b
-    while tree[1] != none:
-        k = tree[1] % n
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (root := tree[1]) != _NONE:
+        k = root % n
         gone = right[k]
-        symbols[k] = ranks[symbols[k], symbols[gone]][1]
-        right[k] = right[gone]
-        if right[k] < n:
-            left[right[k]] = k
-        put(gone, none)
-        put(k, leaf(k))
-        if left[k] >= 0:
-            put(left[k], leaf(left[k]))
+        after, before = right[gone], left[k]
+        symbols[k] = merged = ranks[symbols[k] << _SHIFT | symbols[gone]][1]
+        right[k] = after
+        changes = []
+        if gone < n - 1:
+            changes.append((width + gone, _NONE))
+        got = None
+        if after < n:
+            left[after] = k
+            got = find(merged << _SHIFT | symbols[after])
+        changes.append((width + k, _NONE if got is None else got[0] * n + k))
+        if before >= 0:
+            got = find(symbols[before] << _SHIFT | merged)
+            changes.append((width + before, _NONE if got is None else got[0] * n + before))
+        for at, value in changes:
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            while at > 1:  # up to the first node that stays as it is
+                other = tree[at ^ 1]
+                at >>= 1
+                if other < value:
+                    value = other
+                if tree[at] == value:
+                    break
+                tree[at] = value
     out, k = [], 0
     while k < n:
         out.append(symbols[k])
@@ -75,6 +91,10 @@ def merge_symbols(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
     return out
 
 
+def pair(a: int, b: int) -> int:
+    return a << _SHIFT | b
+
+
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in the vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -84,7 +104,8 @@ def _byte_letters() -> list[str]:
 
 class WordBpe:
     """A tokenizer file of the kind BPE with word ends: text is composed (NFC), put in
-    lower case, and split into pieces by the file's pattern; white space is dropped."""
+    lower case, and split into pieces by the file's pattern; white space is dropped.  The
+    merges, and decoding, are done here; ids are the tokenizers library's."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -97,11 +118,14 @@ class WordBpe:
         self.ranks = {}
         for rank, (a, b) in enumerate(model["merges"]):
             if a in vocabulary and b in vocabulary:
-                self.ranks[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+                self.ranks[pair(vocabulary[a], vocabulary[b])] = (rank, vocabulary[a + b])
         self.special = {t["content"]: t["id"] for t in added}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.pattern = regex.compile(pattern)
+        self.ascii_pieces = regex.compile(pattern).findall
+        # Characters' classes and lower case change with the version of Unicode; beyond ASCII the library's own decide.
+        self.normal = Sequence([NFC(), Lowercase()]).normalize_str
+        self.pieces = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         names = vocabulary | self.special
         self.tokens = [""] * (max(names.values()) + 1)
         for token, number in names.items():
@@ -117,14 +141,18 @@ class WordBpe:
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "replace")
-        return tuple(merge_symbols([*(self.inner[b] for b in data[:-1]), self.final[data[-1]]], self.ranks))
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        return tuple(merge_symbols(symbols, self.ranks))
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of text without special tokens."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # sigma has one lower case here, at a word's end too
+        if chunk.isascii():
+            pieces = self.ascii_pieces(chunk.lower())
+        else:
+            pieces = [piece for piece, _ in self.pieces(self.normal(chunk))]
         out: list[int] = []
-        for piece in self.pattern.findall(chunk.lower()):
+        for piece in pieces:
             out += self._piece(piece) if len(piece) > 100 else self.piece(piece)
         return out
 
@@ -135,6 +163,8 @@ class WordBpe:
                 np.array([self.special[part]] if part in self.special else self.chunk(part), np.int32).tobytes()
                 for part in self.split_special.split(text)
             )
+        if _SEPARATORS.search(text):
+            return np.array(self.chunk(text), np.int32).tobytes()
         if len(self.packed) > _KEPT:
             self.packed.clear()
         return b"".join(map(self.packed.__getitem__, text.split()))

@@ -102,4 +102,24 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash, train or search approximately; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_zip": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        r AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN coalesce(last, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM p LEFT JOIN r USING (payload_digest)""",
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
