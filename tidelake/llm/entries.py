@@ -67,6 +67,16 @@ def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidelake.llm import tokencount
+
+    vocabulary = tokencount.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(documents, vocabulary).drop("text")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake.llm import epsgrid
 
@@ -97,6 +107,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc_zip": op6_warc_zip,
+    "op7_token_counts": op7_token_counts,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_nearest": op9_nearest,
     "op10_main_text": op10_main_text,
