@@ -12,7 +12,6 @@ shuffled, and a worker keeps the results of at most `_KEPT` words.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-_KEPT = 400_000
+_KEPT = 150_000
 # str.split takes these four for white space, the file's pattern does not.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
@@ -131,7 +130,6 @@ class WordBpe:
         for token, number in names.items():
             self.tokens[number] = token
         self.token_array = pa.array(self.tokens, pa.string())
-        self.piece = functools.lru_cache(_KEPT)(self._piece)
         self.packed = _Packed(self)
 
     @classmethod
@@ -139,11 +137,11 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "replace")
         symbols = [self.inner[b] for b in data]
         symbols[-1] = self.final[data[-1]]
-        return tuple(merge_symbols(symbols, self.ranks))
+        return merge_symbols(symbols, self.ranks)
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of text without special tokens."""
@@ -153,7 +151,7 @@ class WordBpe:
             pieces = [piece for piece, _ in self.pieces(self.normal(chunk))]
         out: list[int] = []
         for piece in pieces:
-            out += self._piece(piece) if len(piece) > 100 else self.piece(piece)
+            out += self._piece(piece)
         return out
 
     def encode_packed(self, text: str) -> bytes:
