@@ -19,15 +19,26 @@ UNKNOWN, RESET, NOT_RESET, GAUGE = 0, 1, 2, 3
 _MAP = "map<int,double>"
 
 
+def _no_buckets() -> Column:
+    return F.map_from_entries(F.array().cast("array<struct<key:int,value:double>>"))
+
+
 def struct(**fields: Column) -> Column:
     """A histogram; fields left out are empty."""
     default = {
         "hint": F.lit(UNKNOWN), "schema": F.lit(0), "zero_threshold": num(0.0), "zero_count": num(0.0), "count": num(0.0), "sum": num(0.0),
-        "pos": F.from_json(F.lit("{}"), _MAP), "neg": F.from_json(F.lit("{}"), _MAP), "custom": F.array().cast("array<double>"),
+        "pos": _no_buckets(), "neg": _no_buckets(), "custom": F.array().cast("array<double>"),
     }
     return F.struct(*[fields.get(n, d).alias(n) for n, d in default.items()]).cast(HISTOGRAM)
 
 
+def let(f, **values: Column) -> Column:
+    """f of values that are computed once; an expression that is named often in another
+    would otherwise be copied as often, and expressions of expressions grow beyond use."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(one, lambda x: f(*[x[k] for k in values])), 1)
+
+
 def _with(h: Column, **fields: Column) -> Column:
     names = ("hint", "schema", "zero_threshold", "zero_count", "count", "sum", "pos", "neg", "custom")
     return F.struct(*[fields.get(n, h[n]).alias(n) for n in names]).cast(HISTOGRAM)
@@ -49,22 +60,25 @@ def _coarser(buckets: Column, by: Column) -> Column:
 
 
 def to_schema(h: Column, schema: Column) -> Column:
-    by = (h["schema"] - schema).cast("double")
-    return F.when(h["schema"] == schema, h).otherwise(_with(h, schema=schema, pos=_coarser(h["pos"], by), neg=_coarser(h["neg"], by)))
+    def run(h: Column, schema: Column) -> Column:
+        by = (h["schema"] - schema).cast("double")
+        return F.when(h["schema"] == schema, h).otherwise(_with(h, schema=schema, pos=_coarser(h["pos"], by), neg=_coarser(h["neg"], by)))
+
+    return let(run, h=h, schema=schema)
 
 
 def widen_zero(h: Column, threshold: Column) -> Column:
     """Let the zero bucket reach at least to `threshold`, taking in what lies inside."""
 
-    def inside(k: Column) -> Column:
-        return upper(h, k) <= threshold
+    def run(h: Column, threshold: Column) -> Column:
+        inside = lambda k: upper(h, k) <= threshold
+        taken = lambda m: F.aggregate(F.map_values(F.map_filter(m, lambda k, _: inside(k))), num(0.0), lambda s, v: s + v)
+        rest = lambda m: F.map_filter(m, lambda k, _: ~inside(k))
+        count = h["zero_count"] + taken(h["pos"]) + taken(h["neg"])
+        wider = _with(h, zero_threshold=threshold, zero_count=count, pos=rest(h["pos"]), neg=rest(h["neg"]))
+        return F.when(threshold <= h["zero_threshold"], h).otherwise(wider)
 
-    taken = lambda m: F.aggregate(F.map_values(F.map_filter(m, lambda k, _: inside(k))), num(0.0), lambda s, v: s + v)
-    rest = lambda m: F.map_filter(m, lambda k, _: ~inside(k))
-    wider = _with(
-        h, zero_threshold=threshold, zero_count=h["zero_count"] + taken(h["pos"]) + taken(h["neg"]), pos=rest(h["pos"]), neg=rest(h["neg"])
-    )
-    return F.when(threshold <= h["zero_threshold"], h).otherwise(wider)
+    return let(run, h=h, threshold=threshold)
 
 
 def upper(h: Column, k: Column) -> Column:
@@ -80,7 +94,7 @@ def lower(h: Column, k: Column) -> Column:
 
 def compact(h: Column) -> Column:
     """Without empty buckets."""
-    return _with(h, pos=F.map_filter(h["pos"], lambda _, v: v != 0), neg=F.map_filter(h["neg"], lambda _, v: v != 0))
+    return let(lambda h: _with(h, pos=F.map_filter(h["pos"], lambda _, v: v != 0), neg=F.map_filter(h["neg"], lambda _, v: v != 0)), h=h)
 
 
 def valid(h: Column) -> Column:
@@ -92,13 +106,17 @@ def valid(h: Column) -> Column:
 
 
 def scale(h: Column, by: Column) -> Column:
-    times = lambda m: F.transform_values(m, lambda _, v: v * by)
-    return _with(h, zero_count=h["zero_count"] * by, count=h["count"] * by, sum=h["sum"] * by, pos=times(h["pos"]), neg=times(h["neg"]))
+    return let(lambda h, by: _each(h, lambda v: v * by), h=h, by=by)
+
+
+def _each(h: Column, f) -> Column:
+    """f of the counts and the sum."""
+    of = lambda m: F.transform_values(m, lambda _, v: f(v))
+    return _with(h, zero_count=f(h["zero_count"]), count=f(h["count"]), sum=f(h["sum"]), pos=of(h["pos"]), neg=of(h["neg"]))
 
 
 def divide_by(h: Column, by: Column) -> Column:
-    each = lambda m: F.transform_values(m, lambda _, v: divide(v, by))
-    return _with(h, zero_count=divide(h["zero_count"], by), count=divide(h["count"], by), sum=divide(h["sum"], by), pos=each(h["pos"]), neg=each(h["neg"]))
+    return let(lambda h, by: _each(h, lambda v: divide(v, by)), h=h, by=by)
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -109,32 +127,41 @@ def compatible(a: Column, b: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: float) -> Column:
     """a + b or a - b at the lower resolution and the wider zero bucket; null if incompatible."""
-    schema = F.least(a["schema"], b["schema"])
-    threshold = F.greatest(a["zero_threshold"], b["zero_threshold"])
-    x, y = widen_zero(to_schema(a, schema), threshold), widen_zero(to_schema(b, schema), threshold)
-    zip_ = lambda p, q: F.map_zip_with(p, q, lambda _, u, v: F.coalesce(u, num(0.0)) + F.coalesce(v, num(0.0)) * sign)
-    out = _with(
-        x, zero_count=x["zero_count"] + y["zero_count"] * sign, count=x["count"] + y["count"] * sign, sum=x["sum"] + y["sum"] * sign,
-        pos=zip_(x["pos"], y["pos"]), neg=zip_(x["neg"], y["neg"]),
-    )
-    return F.when(compatible(a, b), compact(out))
+    def add(x: Column, y: Column) -> Column:
+        zip_ = lambda p, q: F.map_zip_with(p, q, lambda _, u, v: F.coalesce(u, num(0.0)) + F.coalesce(v, num(0.0)) * sign)
+        return _with(
+            x, zero_count=x["zero_count"] + y["zero_count"] * sign, count=x["count"] + y["count"] * sign, sum=x["sum"] + y["sum"] * sign,
+            pos=zip_(x["pos"], y["pos"]), neg=zip_(x["neg"], y["neg"]),
+        )
+
+    def run(a: Column, b: Column) -> Column:
+        schema = F.least(a["schema"], b["schema"])
+        threshold = F.greatest(a["zero_threshold"], b["zero_threshold"])
+        alike = lambda h: widen_zero(to_schema(h, schema), threshold)
+        return F.when(compatible(a, b), compact(let(add, x=alike(a), y=alike(b))))
+
+    return let(run, a=a, b=b)
 
 
 def equal(a: Column, b: Column) -> Column:
-    text = lambda h: F.to_json(_with(compact(h), hint=F.lit(UNKNOWN)))
+    text = lambda h: F.to_json(let(lambda h: _with(h, hint=F.lit(UNKNOWN)), h=compact(h)))
     return text(a) == text(b)
 
 
 def reset_between(before: Column, after: Column) -> Column:
     """Whether a counter histogram has started anew: its count or any bucket has fallen, or
     its buckets can no longer hold what they held."""
-    schema, threshold = after["schema"], after["zero_threshold"]
-    coarser = (before["schema"] < schema) | (before["zero_threshold"] > threshold) | ~compatible(before, after)
-    old = widen_zero(to_schema(before, F.least(before["schema"], schema)), threshold)
-    fell = lambda m, n: F.exists(F.map_entries(m), lambda e: e["value"] > F.coalesce(F.try_element_at(n, e["key"]), num(0.0)))
-    by_hint = F.when(after["hint"] == RESET, F.lit(True)).when(after["hint"] == NOT_RESET, F.lit(False))
-    counted = (after["count"] < before["count"]) | coarser | (old["zero_count"] > after["zero_count"])
-    return F.coalesce(by_hint, counted | fell(old["pos"], after["pos"]) | fell(old["neg"], after["neg"]))
+    def run(before: Column, after: Column) -> Column:
+        schema, threshold = after["schema"], after["zero_threshold"]
+        coarser = (before["schema"] < schema) | (before["zero_threshold"] > threshold) | ~compatible(before, after)
+        old = widen_zero(to_schema(before, F.least(before["schema"], schema)), threshold)
+        missing = lambda n, e: e["value"] > F.coalesce(F.try_element_at(n, e["key"]), num(0.0))
+        fell = lambda m, n: F.exists(F.map_entries(m), lambda e: missing(n, e))
+        lost = let(lambda o: (o["zero_count"] > after["zero_count"]) | fell(o["pos"], after["pos"]) | fell(o["neg"], after["neg"]), o=old)
+        by_hint = F.when(after["hint"] == RESET, F.lit(True)).when(after["hint"] == NOT_RESET, F.lit(False))
+        return F.coalesce(by_hint, (after["count"] < before["count"]) | coarser | lost)
+
+    return let(run, before=before, after=after)
 
 
 def buckets(h: Column) -> Column:
@@ -162,15 +189,18 @@ def _within(h: Column, b: Column, share: Column) -> Column:
 
 
 def quantile(h: Column, q: Column) -> Column:
-    rank = q * h["count"]
+    return let(lambda h, q, b: _quantile(h, q, b, q * h["count"]), h=h, q=q, b=buckets(h))
+
+
+def _quantile(h: Column, q: Column, b: Column, rank: Column) -> Column:
     start = F.struct(num(0.0).alias("seen"), F.lit(None).cast("double").alias("value"))
 
     def step(a: Column, b: Column) -> Column:
         here = a["value"].isNull() & (a["seen"] + b["c"] >= rank)
         return F.struct((a["seen"] + b["c"]).alias("seen"), F.when(here, _within(h, b, (rank - a["seen"]) / b["c"])).otherwise(a["value"]).alias("value"))
 
-    found = F.aggregate(buckets(h), start, step, lambda a: a["value"])
-    last = F.try_element_at(buckets(h), F.lit(-1))["hi"]
+    found = F.aggregate(b, start, step, lambda a: a["value"])
+    last = F.try_element_at(b, F.lit(-1))["hi"]
     return (
         F.when(F.isnan(q) | (h["count"] == 0) | F.isnan(h["count"]), num(NAN)).when(q < 0, num(-INF)).when(q > 1, num(INF))
         .otherwise(F.coalesce(found, last, num(NAN)))
@@ -179,7 +209,10 @@ def quantile(h: Column, q: Column) -> Column:
 
 def fraction(h: Column, low: Column, high: Column) -> Column:
     """The estimated share of observations between two values."""
+    return let(_fraction, h=h, low=low, high=high, all_=buckets(h))
 
+
+def _fraction(h: Column, low: Column, high: Column, all_: Column) -> Column:
     def rank(at: Column) -> Column:
         def below(b: Column) -> Column:
             lo = F.when(b["zero"] & (F.size(h["neg"]) == 0) & (F.size(h["pos"]) > 0), num(0.0)).otherwise(b["lo"])
@@ -189,7 +222,7 @@ def fraction(h: Column, low: Column, high: Column) -> Column:
             share = F.when(b["zero"] | (h["schema"] == CUSTOM), linear).otherwise(up)
             return F.when(at >= hi, b["c"]).when(at <= lo, num(0.0)).otherwise(b["c"] * share)
 
-        return F.aggregate(buckets(h), num(0.0), lambda s, b: s + below(b))
+        return F.aggregate(all_, num(0.0), lambda s, b: s + below(b))
 
     share = (F.least(rank(high), h["count"]) - rank(low)) / h["count"]
     return F.when((h["count"] == 0) | F.isnan(low) | F.isnan(high), num(NAN)).when(low >= high, num(0.0)).otherwise(share)
@@ -198,8 +231,10 @@ def fraction(h: Column, low: Column, high: Column) -> Column:
 def variance(h: Column) -> Column:
     """Around the mean, each bucket's observations at its geometric mean, those of buckets
     across zero at zero."""
-    mean = divide(h["sum"], h["count"])
+    return let(_variance, h=h, mean=divide(h["sum"], h["count"]))
+
 
+def _variance(h: Column, mean: Column) -> Column:
     def add(s: Column, b: Column) -> Column:
         same = (b["lo"] < 0) == (b["hi"] < 0)
         middle = F.when(b["zero"] | ~same | (b["lo"] * b["hi"] <= 0), num(0.0)).otherwise(F.signum(b["hi"]) * F.sqrt(F.abs(b["lo"] * b["hi"])))
@@ -257,14 +292,15 @@ def increase(points: Column, counter: bool) -> Column:
     """The change over an array of (ts, h) in order: last - first, plus what stood before
     each reset; null where two points do not go together."""
     first = F.element_at(points, 1)["h"]
-    start = F.struct(first.alias("before"), _with(scale(first, num(0.0)), hint=F.lit(GAUGE)).alias("lost"))
+    start = F.struct(first.alias("before"), scale(first, num(0.0)).alias("lost"))
 
     def step(a: Column, p: Column) -> Column:
         lost = F.when(reset_between(a["before"], p["h"]), combine(a["lost"], a["before"], 1.0)).otherwise(a["lost"]) if counter else a["lost"]
         return F.struct(p["h"].alias("before"), lost.alias("lost"))
 
     folded = F.aggregate(F.slice(points, 2, F.size(points)), start, step)
-    return _with(combine(combine(F.element_at(points, -1)["h"], first, -1.0), folded["lost"], 1.0), hint=F.lit(GAUGE))
+    total = combine(combine(F.element_at(points, -1)["h"], first, -1.0), folded["lost"], 1.0)
+    return let(lambda h: F.when(h.isNotNull(), _with(h, hint=F.lit(GAUGE))), h=total)
 
 
 def from_classic(df: DataFrame, keys: list[str]) -> DataFrame:

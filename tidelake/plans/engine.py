@@ -416,7 +416,8 @@ class Engine:
         rows = rows.where("not stale") if self.store.has_stale else rows
         plain = F.max(F.col("f").isNotNull() & F.col("h").isNull())
         found = selectors.in_windows(rows.select("series_id", "ts", "f", "h"), at, e.range).groupBy("series_id", "step")
-        found = found.agg(F.array_sort(F.collect_list(F.struct("ts", "h"))).alias("p"), plain.alias("mixed")).where("size(p) > 1 and not mixed")
+        in_time = lambda x, y: F.when(x["ts"] < y["ts"], -1).when(x["ts"] > y["ts"], 1).otherwise(0)
+        found = found.agg(F.array_sort(F.collect_list(F.struct("ts", "h")), in_time).alias("p"), plain.alias("mixed")).where("size(p) > 1 and not mixed")
         first, last = F.element_at("p", 1)["ts"], F.element_at("p", -1)["ts"]
         sampled = (last - first) / 1000.0
         each = sampled / (F.size("p") - 1)
