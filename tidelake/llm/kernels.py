@@ -8,6 +8,7 @@ characters, as bytes of a longer sequence are never below 0x80.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +125,12 @@ def distinct(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return h[new], owner[new]
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

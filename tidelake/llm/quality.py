@@ -199,6 +199,7 @@ def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3) ->
                 [*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 [*kept, "score", "predicted"],
             )
+        kernels.tidy()
 
     return source.mapInArrow(run, schema)
 
