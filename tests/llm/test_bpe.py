@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,9 @@ THEIRS, OURS = Tokenizer.from_file(PATH), bpe.WordBpe.from_file(PATH)
 def agree(text):
     want = THEIRS.encode(text, add_special_tokens=False).ids
     assert OURS.encode(text) == want
+    OURS.packed.clear()
+    OURS.learn([text])
+    assert OURS.encode(text) == want
     assert OURS.decode(want) == THEIRS.decode(want, skip_special_tokens=False)
 
 
@@ -43,6 +47,12 @@ def test_merges_like_repeated_search(symbols):
         _, k = min(pairs)
         want[k : k + 2] = [ranks[want[k], want[k + 1]][1]]
     assert bpe.merge_symbols(symbols, ours) == want
+    if symbols:
+        row = np.full((3, 32), -1)
+        row[1, : len(symbols)] = symbols
+        row[0, 0] = row[2, 0] = 3
+        ids, counts = bpe.Merges(ours).apply(row, np.array([1, len(symbols), 1]))
+        assert ids.tolist() == [3, *want, 3] and counts.tolist() == [1, len(want), 1]
 
 
 def test_rows(spark, documents, none):

@@ -52,6 +52,6 @@ def test_archives_of_other_writers():
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         z.writestr("x", b"0123456789")
         z.comment = b"a comment"
-    reader = warczip.ArchiveReader(pa.PythonFile(io.BytesIO(out.getvalue())))
+    reader = warczip.ArchiveReader(pa.BufferReader(out.getvalue()))
     at, length = reader.place("x")
     assert reader.read(at, length) == b"0123456789"
