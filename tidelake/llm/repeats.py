@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.kernels import mix, slices, string_buffers
+from tidelake.llm.kernels import mix, slices, string_buffers, tidy
 from tidelake.session import Scratch, release
 
 GRAM = 24
@@ -141,6 +141,7 @@ def zones(documents: DataFrame, length: int) -> DataFrame:
                     ],
                     ["_tk", "_tl", "a", "lo", "hi", "k1", "k2"],
                 )
+        tidy()
 
     schema = "_tk long, _tl long, a int, lo int, hi int, k1 long, k2 long"
     return documents.select("text", *_text_keys()).mapInArrow(run, schema)
@@ -148,7 +149,7 @@ def zones(documents: DataFrame, length: int) -> DataFrame:
 
 def _steps(texts: DataFrame, length: int) -> DataFrame:
     """From texts with an array `zs` of zones (a, lo, hi, w) to their steps:
-    (core, whole, w, _tk, _tl, lo, starts), starts being the hash of each start's string."""
+    (core, whole, w, _tk, _tl, lo, hi, starts), starts being the hash of each start's string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,13 +191,14 @@ def _steps(texts: DataFrame, length: int) -> DataFrame:
                         pa.array(whole.view(np.int64)),
                         pa.array(w.astype(np.int32)),
                         *[pa.array(k[row]) for k in keys],
-                        pa.array(begin.astype(np.int32)),
+                        *[pa.array(x.astype(np.int32)) for x in (begin, end)],
                         pa.ListArray.from_arrays(cuts, pa.array(own.view(np.int64))),
                     ],
-                    ["core", "whole", "w", "_tk", "_tl", "lo", "starts"],
+                    ["core", "whole", "w", "_tk", "_tl", "lo", "hi", "starts"],
                 )
+        tidy()
 
-    schema = "core long, whole long, w int, _tk long, _tl long, lo int, starts array<long>"
+    schema = "core long, whole long, w int, _tk long, _tl long, lo int, hi int, starts array<long>"
     return texts.mapInArrow(run, schema)
 
 
@@ -232,8 +234,9 @@ def repeated_starts(documents: DataFrame, scratch: Scratch, length: int = 400) -
     )
     weight = F.when((F.col("w") > 1) | (F.col("one") != F.col("other")), 2).otherwise(1).alias("w")
     kinds = scratch.write(kinds.select("core", "whole", weight, "one", "starts"), "step-kinds")
-    more = steps.join(kinds.where("w > 1").select("core", "whole"), ["core", "whole"], "left_semi")
-    more = scratch.write(more.select("_tk", "_tl", "lo", (F.col("lo") + F.size("starts") - 1).alias("hi")).distinct(), "more")
+    places = steps.select("core", "whole", "_tk", "_tl", "lo", "hi")  # without the hashes of the starts
+    more = places.join(kinds.where("w > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    more = scratch.write(more.select("_tk", "_tl", "lo", "hi").distinct(), "more")
     open_cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
     open_cores = scratch.write(open_cores, "open-cores")
     fine = kinds.join(open_cores, "core", "left_semi").select("core", "w", "one", F.posexplode("starts").alias("k", "h"))
@@ -312,5 +315,6 @@ def deduplicate(documents: DataFrame, scratch: Scratch, length: int = 400, as_te
                 ],
                 [*columns, *added[as_text:]],
             )
+        tidy()
 
     return source.mapInArrow(run, schema)
