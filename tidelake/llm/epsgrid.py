@@ -102,7 +102,8 @@ def _blocks(ordered: DataFrame) -> DataFrame:
             while waiting:
                 rows = pa.Table.from_batches(waiting)
                 dims = rows.column("dim").to_numpy()
-                end = int(np.searchsorted(dims, dims[0], side="right"))  # the order begins with dim
+                other = np.flatnonzero(dims != dims[0])
+                end = int(other[0]) if len(other) else len(dims)
                 if end >= BLOCK or end < len(dims):
                     size = min(end, BLOCK)
                     yield cut(rows.slice(0, size))
@@ -228,8 +229,10 @@ def near_duplicates(embeddings: DataFrame, scratch: Scratch, threshold: float =
     rotation = principal(classes, main) if dims else None
     ordered = _order(classes, rotation, main, e)
     key = ["dim", "c0", "c1", "c2", "c3", "place", "cid"]
-    ordered = scratch.write(ordered, "ordered").repartitionByRange(max(1, math.ceil(total / (2 * BLOCK))), *key).sortWithinPartitions(*key)
-    blocks = scratch.write(_blocks(ordered), "blocks")
+    parts = max(1, math.ceil(total / (2 * BLOCK)))
+    ordered = scratch.write(ordered, "ordered").repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    # Neighbouring ranges together where there are more than asked for, as short blocks make many pairs.
+    blocks = scratch.write(_blocks(ordered.coalesce(parts)), "blocks")
 
     # Pairs of blocks: cells that adjoin on two dimensions, and boxes within e.
     boxes = blocks.select("block", "dim", "cells", "lo", "hi")
