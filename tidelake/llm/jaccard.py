@@ -36,6 +36,7 @@ from tidelake.session import Scratch, release
 
 SKETCH_BITS = 20
 BITMAP = 1024
+_COUNTED = 1 << 21
 _U = np.uint64
 
 
@@ -51,21 +52,32 @@ def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
     """How often shingles of each sketch slot occur in all texts, as a base-2 logarithm.
 
     The sketch has 2**SKETCH_BITS slots whatever the input, and a shingle counts where it
-    occurs again in its batch of rows.  It only orders shingles, so what it does not
+    occurs again among some _COUNTED neighbours.  It only orders shingles, so what it does not
     tell apart costs time, never a link."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        runs, held = [], 0
+
+        def add() -> None:
+            run, n = np.unique(np.concatenate(runs), return_counts=True)
+            slot = (run[n > 1] >> _U(64 - SKETCH_BITS)).astype(np.int64)
+            np.add.at(total, slot, n[n > 1])
+            runs.clear()
+
         for batch in batches:
             data, offsets = kernels.string_buffers(batch.column(0))
-            runs = [np.zeros(0, np.uint64)]
             for i, j in kernels.slices(offsets):
                 h, bounds = kernels.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 runs.append(kernels.shingles(h, bounds, width)[0])
-            run, n = np.unique(np.concatenate(runs), return_counts=True)
-            slot = (run[n > 1] >> _U(64 - SKETCH_BITS)).astype(np.int64)
-            total += np.bincount(slot, n[n > 1], 1 << SKETCH_BITS).astype(np.int64)
+                held += len(runs[-1])
+                if held >= _COUNTED:
+                    add()
+                    held = 0
+        if runs:
+            add()
         slot = np.flatnonzero(total)
+        kernels.tidy()
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
 
     counted = documents.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -110,6 +122,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray)
                     ],
                     ["doc_id", "rk", "n", "s1", "s2", "prefix", "bits"],
                 )
+        kernels.tidy()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     source = documents.select("doc_id", "text", _text_key().alias("rk"))
@@ -148,7 +161,8 @@ def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, wid
     needed = scratch.write(needed, f"{name}-needed")
     release(scratch)
     same = documents["doc_id"].eqNullSafe(needed["doc_id"]) & (_text_key() == needed["rk"])
-    texts = documents.select("doc_id", "text").join(needed, same).select("cid", "text")
+    # Merged at every size: what is needed grows with the corpus, and a broadcast would not.
+    texts = documents.select("doc_id", "text").join(needed.hint("merge"), same).select("cid", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +170,7 @@ def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, wid
                 cuts = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 sets = pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("cid")[i:j], sets], ["cid", "elements"])
+        kernels.tidy()
 
     sets = scratch.write(texts.mapInArrow(extract, "cid long, elements array<long>"), f"{name}-sets")
     release(scratch)
