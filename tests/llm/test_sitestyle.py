@@ -55,3 +55,15 @@ def test_style_tree(spark, scratch):
     want = [(k, f"story {k} about {k}") for k in range(12)] + [(50, "story 3 about 3"), (100, "always the same"), (101, ""), (102, ""), (102, "")]
     assert got == want
     assert sitestyle.extract(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark, "test")).count() == 0
+
+
+def test_article_pages_count_in_the_tree(spark, scratch):
+    """What a host's articles repeat goes from them and from plain pages; a host's few plain pages are no statistics of their own."""
+    page = "<div class=top>Site name</div><article><p>story {0} about {0}</p><p>read more</p></article><div class=x>always the same</div>"
+    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(40)]
+    rows += [(100, "http://h.example/plain", "<div class=top>Site name</div><div class=y>plain text</div><div class=x>always the same</div>")]
+    rows += [(200 + k, f"http://small.example/{k}", f"<div>outside {k}</div><article><p>shared</p><p>own {k}</p></article>") for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in sitestyle.extract(df, scratch).collect()}
+    want = {k: f"story {k} about {k}" for k in range(40)} | {100: "plain text", 200: "shared own 0", 201: "shared own 1"}
+    assert got == want

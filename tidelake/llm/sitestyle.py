@@ -6,27 +6,31 @@ an importance between 0 and 1:
 
 * a presentation node whose tag, class, id or role says what it is, is taken at its word:
   0 for navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-  and comments, 1 for an article or main part;
+  and comments;
 * a content node elsewhere: 1 minus the entropy of its text over the host's distinct
   pages, log(k) / log(m) for a text that k of m pages show at that path, so 0 for what
   every page repeats and 1 for what one page has alone;
+* where a page has an article or main part, that is a prior of 1 for the nodes inside and
+  0 for those outside, which weighs as much as the statistics of PRIOR_PAGES pages: it
+  decides on small hosts, the entropy on large ones;
 * a path: the mean of its content nodes' importances.
 
 Branches of low importance are removed from each page; the text of the other blocks,
-white space made one space, is joined in page order.  A page with an article or main
-part keeps that part; only other pages need the host's statistics, so only their blocks
-are shuffled, by (host, path, text), which no large host gathers in one task.
+white space made one space, is joined in page order.  The blocks of all pages are counted,
+as hashes shuffled by (host, path, text), which no large host gathers in one task; texts
+are not kept between steps but read from the pages again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.session import Scratch
@@ -57,6 +61,7 @@ NOISE_WORDS = frozenset(
 MAIN_WORDS = frozenset("content main article post entry story body text maincontent".split())
 CLOSES_P = BLOCK - {"html", "body", "option"}
 SCOPE = frozenset("table td th button object caption".split())
+PRIOR_PAGES = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -215,45 +220,64 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None]]:
     return out
 
 
-def settle(found: list[tuple[str, str, bool, int | None]]) -> tuple[str | None, list[tuple[str, str]]]:
-    """(text, []) of a page that tells its main part, else (None, blocks that are not furniture)."""
-    main = [text for _, text, noise, prior in found if prior == 1 and not noise]
-    if main:
-        return " ".join(main), []
-    rest = [(path, text) for path, text, noise, _ in found if not noise]
+def settle(found: list[tuple[str, str, bool, int | None]]) -> tuple[str | None, list[tuple[tuple[str, int | None], str]]]:
+    """("", []) of a page of furniture alone, else (None, the other blocks as ((path, prior), text)).
+
+    On a page with an article or main part, the prior of blocks outside of it is 0."""
+    rest = [(path, text, prior) for path, text, noise, prior in found if not noise]
+    outside = 0 if any(prior == 1 for _, _, prior in rest) else None
+    rest = [((path, outside if prior is None else prior), text) for path, text, prior in rest]
     return (None, rest) if rest else ("", [])
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True)
+
+
+def _host() -> Column:
+    return F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, main, page_hash, parts): parts (seq, path, text_hash, text)
-    only where the page alone does not settle its text."""
+    """(host, html_hash, page_hash, parts): parts (seq, path, h, prior) has hashes of the paths
+    and texts of all blocks that are not furniture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("seq", pa.int32()), ("path", pa.int64()), ("h", pa.int64()), ("prior", pa.int8())]))
         for batch in batches:
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
-                mains, hashes, parts = [], [], []
+                hashes, parts = [], []
                 for page in part.column("html").to_pylist():
-                    main, rest = settle(blocks(page or ""))
-                    mains.append(main)
-                    joined = hashlib.md5("\n".join(t for _, t in rest).encode("utf-8", "replace")).digest()
-                    hashes.append(int.from_bytes(joined[:8], "little", signed=True))
-                    parts.append(
-                        [
-                            {"seq": k, "path": path, "h": int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True), "text": text}
-                            for k, (path, text) in enumerate(rest)
-                        ]
-                    )
-                kind = pa.list_(pa.struct([("seq", pa.int32()), ("path", pa.string()), ("h", pa.int64()), ("text", pa.string())]))
+                    rest = settle(blocks(page or ""))[1]
+                    hashes.append(_hash("\n".join(t for _, t in rest)))
+                    paths = {path: _hash(path) for (path, _), _ in rest}
+                    parts.append([{"seq": k, "path": paths[path], "h": _hash(text), "prior": prior} for k, ((path, prior), text) in enumerate(rest)])
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in ("page_id", "url", "host")], pa.array(mains, pa.string()), pa.array(hashes, pa.int64()), pa.array(parts, kind)],
-                    ["page_id", "url", "host", "main", "page_hash", "parts"],
+                    [part.column("host"), part.column("html_hash"), pa.array(hashes, pa.int64()), pa.array(parts, kind)],
+                    ["host", "html_hash", "page_hash", "parts"],
                 )
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    schema = "host string, html_hash long, page_hash long, parts array<struct<seq:int,path:long,h:long,prior:tinyint>>"
+    return pages.select(_host().alias("host"), F.xxhash64("html").alias("html_hash"), "html").mapInArrow(run, schema)
+
+
+def cut_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text): the blocks that are not furniture, without those whose numbers `drop` lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 128):
+                part = batch.slice(start, 128)
+                texts = []
+                for page, drop in zip(part.column("html").to_pylist(), part.column("drop").to_pylist(), strict=True):
+                    gone = set(drop or ())
+                    rest = settle(blocks(page or ""))[1]
+                    texts.append(" ".join(text for k, (_, text) in enumerate(rest) if k not in gone))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, main string, page_hash long, parts array<struct<seq:int,path:string,h:long,text:string>>"
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), "html").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html", "drop").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def extract(pages: DataFrame, scratch: Scratch, least: float = 0.5, least_path: float = 0.3) -> DataFrame:
@@ -262,29 +286,27 @@ def extract(pages: DataFrame, scratch: Scratch, least: float = 0.5, least_path:
     Null or empty html, and pages of furniture alone, have the empty text.  A null url
     belongs to the host ''.  A block goes if its own importance is below `least` or its
     path's mean below `least_path`; where a host has one distinct page, nothing repeats and
-    all blocks stay.  Equal pages count once, so a copied article stays an article."""
-    parsed = scratch.write(parse_pages(pages), "parsed")
-    settled = parsed.where("main is not null").select("page_id", "url", F.col("main").alias("text"))
-    if parsed.where("main is null").isEmpty():
-        return settled
-    rows = parsed.where("main is null").withColumn("uid", F.monotonically_increasing_id())
-    rows = scratch.write(rows, "open")
-    each = rows.select("uid", "host", "page_hash", F.explode("parts").alias("b"))
-    each = each.select("uid", "host", "page_hash", "b.seq", "b.path", "b.h", "b.text")
-    counted = each.select("host", "path", "h", "page_hash").distinct().groupBy("host", "path", "h").agg(F.count(F.lit(1)).alias("k"))
-    sizes = scratch.write(rows.select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")), "hosts")
-    nodes = scratch.write(counted, "counted").join(sizes, "host")
-    nodes = nodes.withColumn("imp", F.when(F.col("m") > 1, 1 - F.log("k") / F.log("m")).otherwise(1.0))
-    nodes = scratch.write(nodes.select("host", "path", "h", "k", "imp"), "nodes")
+    the priors decide.  Equal pages count once, so a copied article stays an article."""
+    rows = scratch.write(parse_pages(pages), "parsed")
+    each = rows.select("host", "html_hash", "page_hash", F.explode("parts").alias("b"))
+    each = each.select("host", "html_hash", "page_hash", "b.seq", "b.path", "b.h", "b.prior")
+    shown = each.groupBy("host", "path", "h", "page_hash").agg(F.max("prior").alias("prior"))
+    counted = shown.groupBy("host", "path", "h").agg(
+        F.count(F.lit(1)).alias("k"), F.count("prior").alias("told"), F.coalesce(F.sum("prior"), F.lit(0)).alias("inside")
+    )
+    sizes = rows.where(F.size("parts") > 0).select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    nodes = scratch.write(counted, "counted").join(scratch.write(sizes, "hosts"), "host")
+    weight = math.log(PRIOR_PAGES)
+    over = F.log("m") + weight * F.col("told") / F.col("k")
+    imp = F.when(over > 0, (F.log(F.col("m") / F.col("k")) + weight * F.col("inside") / F.col("k")) / over).otherwise(1.0)
+    nodes = scratch.write(nodes.select("host", "path", "h", "k", imp.alias("imp")), "nodes")
     paths = nodes.groupBy("host", "path").agg((F.sum(F.col("imp") * F.col("k")) / F.sum("k")).alias("path_imp"))
     paths = scratch.write(paths.where(F.col("path_imp") < least_path).select("host", "path"), "low-paths")
     low = nodes.where(F.col("imp") < least).select("host", "path", "h").unionByName(
         nodes.join(paths, ["host", "path"], "left_semi").select("host", "path", "h")
     )
     low = scratch.write(low.distinct(), "low")
-    kept = each.join(low, ["host", "path", "h"], "left_anti")
-    joined = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("x"))
-    joined = joined.select("uid", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"))
-    joined = scratch.write(joined, "joined")
-    opened = rows.select("uid", "page_id", "url").join(joined, "uid", "left")
-    return settled.unionByName(opened.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")))
+    drop = each.join(low, ["host", "path", "h"], "left_semi").groupBy("host", "html_hash").agg(F.collect_set("seq").alias("drop"))
+    drop = scratch.write(drop, "drop")
+    keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), "html", _host().alias("host"), F.xxhash64("html").alias("html_hash"))
+    return cut_pages(keyed.join(drop, ["host", "html_hash"], "left"))
