@@ -67,3 +67,28 @@ def test_article_pages_count_in_the_tree(spark, scratch):
     got = {r.page_id: r.text for r in sitestyle.extract(df, scratch).collect()}
     want = {k: f"story {k} about {k}" for k in range(40)} | {100: "plain text", 200: "shared own 0", 201: "shared own 1"}
     assert got == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main class='no-sidebar'>x</main>",
+        "<article class='post social-story'>x</article>",
+        "<div id=content class='with-sidebar'><p>x</div>",
+        "<div class='overflow-hidden'><article>x</article></div>",
+        "<article data-title='The hidden valley'>x</article>",
+        "<article data-hidden='false'>x</article>",
+        "<div title='a class=ad'>x</div>",
+    ],
+)
+def test_words_inside_names_and_values_are_no_furniture(page):
+    assert main(page) == "x"
+
+
+def test_a_hint_lowers_importance(spark, scratch):
+    """On 3 of 16 pages a text's importance is 0.60, so it stays; below a hint it is 0.45."""
+    page = "<div class=a>{1}</div><div class='with-sidebar'>{1} too</div><div>own {0}</div>"
+    rows = [(k, f"http://h.example/{k}", page.format(k, "pair" if k < 3 else f"single {k}")) for k in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitestyle.extract(df, scratch).collect()}
+    assert got == {k: f"pair own {k}" if k < 3 else f"single {k} single {k} too own {k}" for k in range(16)}

@@ -4,7 +4,8 @@ A page is read into a DOM of elements and text blocks.  The pages of a host are
 by the paths of their elements (tag, class and id from the root on), and each node gets
 an importance between 0 and 1:
 
-* a presentation node whose tag, class, id or role says what it is, is taken at its word:
+* a presentation node whose tag or role says what it is, or a class or id of nothing but
+  such words ("ad", "cookie-notice"), is taken at its word:
   0 for navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles
   and comments;
 * a content node elsewhere: 1 minus the entropy of its text over the host's distinct
@@ -13,6 +14,8 @@ an importance between 0 and 1:
 * where a page has an article or main part, that is a prior of 1 for the nodes inside and
   0 for those outside, which weighs as much as the statistics of PRIOR_PAGES pages: it
   decides on small hosts, the entropy on large ones;
+* a class or id that has such a word among others ("with-sidebar", "overflow-hidden") takes
+  HINT of the importance of the nodes below, but for articles and main parts;
 * a path: the mean of its content nodes' importances.
 
 Branches of low importance are removed from each page; the text of the other blocks,
@@ -62,13 +65,15 @@ MAIN_WORDS = frozenset("content main article post entry story body text maincont
 CLOSES_P = BLOCK - {"html", "body", "option"}
 SCOPE = frozenset("table td th button object caption".split())
 PRIOR_PAGES = 16
+HINT = 0.25
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAMED = frozenset("class id role hidden aria-hidden style".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -85,46 +90,62 @@ _SAME = {
 
 
 class Node:
-    """An element; `prior` is 0 or 1 where its tag or attributes tell what it is."""
+    """An element; `prior` is 0 or 1 where its tag or attributes tell what it is, `weak`
+    tells that it or one around it, up to an article or main part, hints at furniture."""
 
-    __slots__ = ("tag", "path", "prior", "noise", "main")
+    __slots__ = ("tag", "path", "prior", "noise", "main", "weak")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag = tag
-        found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+        found = _attributes(attributes) if attributes else {}
         mark = f"{tag}.{found.get('class', '')}#{found.get('id', '')}" if found else tag
         self.path = f"{parent.path}/{mark}" if parent else mark
         inside = parent is not None and parent.main
-        self.prior = _prior(tag, found, inside)
+        self.prior, weak = _prior(tag, found, inside)
         self.noise = (parent is not None and parent.noise) or self.prior == 0
         self.main = not self.noise and (inside or self.prior == 1)
+        self.weak = self.prior != 1 and (weak or (parent is not None and parent.weak))
 
 
-def _prior(tag: str, found: dict[str, str], inside: bool) -> int | None:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes that matter here; of repeated ones the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        if (name := m[1].lower()) in _NAMED:
+            found.setdefault(name, (m[2] or "").strip("\"'"))
+    return found
+
+
+def _prior(tag: str, found: dict[str, str], inside: bool) -> tuple[int | None, bool]:
+    """(prior, weak): a class or id made of furniture words alone is taken at its word, one
+    that has such a word among others is a hint."""
     if tag in NOISE_TAGS and not (inside and tag == "header"):
-        return 0
+        return 0, False
     if tag in ("html", "body"):
-        return None
+        return None, False
+    weak = False
     if found:
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-            return 0
+            return 0, False
         role = found.get("role", "").lower()
         if role in NOISE_ROLES:
-            return 0
-        named = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w for part in (named, _CAMEL.sub(" ", named)) for w in _WORD.findall(part.lower())}
-        if words & NOISE_WORDS:
-            return 0
+            return 0, False
+        for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+            for words in (set(_WORD.findall(name.lower())), set(_WORD.findall(_CAMEL.sub(" ", name).lower()))):
+                if words and words <= NOISE_WORDS:
+                    return 0, False
+                weak = weak or bool(words & NOISE_WORDS)
         if role in ("main", "article"):
-            return 1
+            return 1, False
     if tag in ("article", "main"):
-        return 1
-    return None
+        return 1, False
+    return None, weak
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int | None]]:
-    """(path, text, noise, prior): the text blocks of a page in order; prior is 1 inside an article or main part."""
-    out: list[tuple[str, str, bool, int | None]] = []
+def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
+    """(path, text, noise, prior, weak): the text blocks of a page in order; prior is 1 inside
+    an article or main part, weak where a class or id hints at furniture."""
+    out: list[tuple[str, str, bool, int | None, bool]] = []
     stack: list[Node] = []
     pending: list[str] = []
     holder: Node | None = None
@@ -135,9 +156,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None]]:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text and holder is not None:
-                out.append((holder.path, text, holder.noise, 1 if holder.main else None))
+                out.append((holder.path, text, holder.noise, 1 if holder.main else None, holder.weak))
             elif text:
-                out.append(("", text, False, None))
+                out.append(("", text, False, None, False))
             pending.clear()
         holder = None
 
@@ -220,13 +241,13 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None]]:
     return out
 
 
-def settle(found: list[tuple[str, str, bool, int | None]]) -> tuple[str | None, list[tuple[tuple[str, int | None], str]]]:
-    """("", []) of a page of furniture alone, else (None, the other blocks as ((path, prior), text)).
+def settle(found: list[tuple[str, str, bool, int | None, bool]]) -> tuple[str | None, list[tuple[tuple[str, int | None, bool], str]]]:
+    """("", []) of a page of furniture alone, else (None, the other blocks as ((path, prior, weak), text)).
 
     On a page with an article or main part, the prior of blocks outside of it is 0."""
-    rest = [(path, text, prior) for path, text, noise, prior in found if not noise]
-    outside = 0 if any(prior == 1 for _, _, prior in rest) else None
-    rest = [((path, outside if prior is None else prior), text) for path, text, prior in rest]
+    rest = [(path, text, prior, weak) for path, text, noise, prior, weak in found if not noise]
+    outside = 0 if any(prior == 1 for _, _, prior, _ in rest) else None
+    rest = [((path, outside if prior is None else prior, weak), text) for path, text, prior, weak in rest]
     return (None, rest) if rest else ("", [])
 
 
@@ -239,11 +260,11 @@ def _host() -> Column:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(host, html_hash, page_hash, parts): parts (seq, path, h, prior) has hashes of the paths
+    """(host, html_hash, page_hash, parts): parts (seq, path, h, prior, weak) has hashes of the paths
     and texts of all blocks that are not furniture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("seq", pa.int32()), ("path", pa.int64()), ("h", pa.int64()), ("prior", pa.int8())]))
+        kind = pa.list_(pa.struct([("seq", pa.int32()), ("path", pa.int64()), ("h", pa.int64()), ("prior", pa.int8()), ("weak", pa.bool_())]))
         for batch in batches:
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
@@ -251,14 +272,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 for page in part.column("html").to_pylist():
                     rest = settle(blocks(page or ""))[1]
                     hashes.append(_hash("\n".join(t for _, t in rest)))
-                    paths = {path: _hash(path) for (path, _), _ in rest}
-                    parts.append([{"seq": k, "path": paths[path], "h": _hash(text), "prior": prior} for k, ((path, prior), text) in enumerate(rest)])
+                    paths = {path: _hash(path) for (path, _, _), _ in rest}
+                    parts.append(
+                        [
+                            {"seq": k, "path": paths[path], "h": _hash(text), "prior": prior, "weak": weak}
+                            for k, ((path, prior, weak), text) in enumerate(rest)
+                        ]
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [part.column("host"), part.column("html_hash"), pa.array(hashes, pa.int64()), pa.array(parts, kind)],
                     ["host", "html_hash", "page_hash", "parts"],
                 )
 
-    schema = "host string, html_hash long, page_hash long, parts array<struct<seq:int,path:long,h:long,prior:tinyint>>"
+    schema = "host string, html_hash long, page_hash long, parts array<struct<seq:int,path:long,h:long,prior:tinyint,weak:boolean>>"
     return pages.select(_host().alias("host"), F.xxhash64("html").alias("html_hash"), "html").mapInArrow(run, schema)
 
 
@@ -289,16 +315,18 @@ def extract(pages: DataFrame, scratch: Scratch, least: float = 0.5, least_path:
     the priors decide.  Equal pages count once, so a copied article stays an article."""
     rows = scratch.write(parse_pages(pages), "parsed")
     each = rows.select("host", "html_hash", "page_hash", F.explode("parts").alias("b"))
-    each = each.select("host", "html_hash", "page_hash", "b.seq", "b.path", "b.h", "b.prior")
-    shown = each.groupBy("host", "path", "h", "page_hash").agg(F.max("prior").alias("prior"))
+    each = each.select("host", "html_hash", "page_hash", "b.seq", "b.path", "b.h", "b.prior", "b.weak")
+    shown = each.groupBy("host", "path", "h", "page_hash").agg(F.max("prior").alias("prior"), F.min("weak").alias("weak"))
     counted = shown.groupBy("host", "path", "h").agg(
-        F.count(F.lit(1)).alias("k"), F.count("prior").alias("told"), F.coalesce(F.sum("prior"), F.lit(0)).alias("inside")
+        F.count(F.lit(1)).alias("k"), F.count("prior").alias("told"), F.coalesce(F.sum("prior"), F.lit(0)).alias("inside"),
+        F.count_if("weak").alias("weak"),
     )
     sizes = rows.where(F.size("parts") > 0).select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m"))
     nodes = scratch.write(counted, "counted").join(scratch.write(sizes, "hosts"), "host")
     weight = math.log(PRIOR_PAGES)
     over = F.log("m") + weight * F.col("told") / F.col("k")
     imp = F.when(over > 0, (F.log(F.col("m") / F.col("k")) + weight * F.col("inside") / F.col("k")) / over).otherwise(1.0)
+    imp = imp * (1 - HINT * F.col("weak") / F.col("k"))
     nodes = scratch.write(nodes.select("host", "path", "h", "k", imp.alias("imp")), "nodes")
     paths = nodes.groupBy("host", "path").agg((F.sum(F.col("imp") * F.col("k")) / F.sum("k")).alias("path_imp"))
     paths = scratch.write(paths.where(F.col("path_imp") < least_path).select("host", "path"), "low-paths")
