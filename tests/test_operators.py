@@ -263,3 +263,22 @@ def test_same_values_merge(spark):
     got = sorted((r.ts, r.f) for r in storage.merge_sources([a, b]).collect())
     assert got == [(0, 1.0), (10, 2.0), (20, 3.0)]
     same(instant(load(spark, "10s", "x 1"), "x", "0s"), {"x{}": 1})
+
+
+def test_whole_grids_see_every_row(spark):
+    from tidelake.plans import registry, registry_ops  # noqa: F401  (the second adds to the first)
+
+    sf = "/root/testdata/sf0.001"
+    for table, column, grid, length in (
+        ("events", "ts", registry.WHOLE_EVENTS, 12 * registry.HOUR),
+        ("orders", "o_orderdate", registry.WHOLE_ORDERS, 30 * registry.DAY),
+        ("lineitem", "l_shipdate", registry.WHOLE_LINES, 100 * registry.DAY),
+    ):
+        at = [r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(f"unix_millis(cast({column} as timestamp))").collect()]
+        steps = range(grid[0], grid[1] + 1, grid[2])
+        assert grid[2] <= length and all(any(s - length < t <= s for s in steps) for t in at)
+    names = ["instant_selector", "rate", "agg_sum_by", "topk", "vector_add", "set_or", "fn_ln", "histogram_quantile", "recording_rule", "alert_rule"]
+    assert all(f"whole_{n}" in registry.QUERIES and f"whole_{n}" in registry.ORACLE_SQL for n in names)
+    counted = registry.QUERIES["whole_agg_count_by"](spark, sf).agg({"v": "sum"}).collect()[0][0]
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type", "user_id", f"ceil((unix_millis(cast(ts as timestamp)) - {registry.JAN_2024}) / {12 * registry.HOUR})")
+    assert counted == events.distinct().count()

@@ -11,7 +11,7 @@ from tidelake.operators import codec, relabel, storage
 from tidelake.operators import labels as L
 from tidelake.plans.api import Session
 from tidelake.plans.engine import Options
-from tidelake.plans.registry import DAY, EVENT_VALUE, ORACLE_SQL, ORDER_COUNT, ORDERS, QUERIES, instant, steps
+from tidelake.plans.registry import DAY, EVENT_VALUE, ORACLE_SQL, ORDER_COUNT, ORDERS, QUERIES, WHOLE_ORDERS, instant, steps
 from tidelake.session import read_table
 from tidelake.sources import exposition, ingest, tables
 from tidelake.streaming import rules
@@ -214,31 +214,55 @@ def telemetry_histograms(spark, sf_dir):
 
 # -- rules and streams --------------------------------------------------------------------------------
 
-_GROUP = rules.Group("orders", (rules.RecordingRule("status:orders:sum", "sum by (status) (order_count)", {"team": "sales"}),), 70 * DAY)
-_COUNT = instant(ORDER_COUNT, ["status", "priority"], ORDERS, 40 * DAY)
+_RECORD = rules.RecordingRule("status:orders:sum", "sum by (status) (order_count)", {"team": "sales"})
+_ALERT = rules.AlertRule("Busy", "order_count > 1", hold_ms=70 * DAY)
 
 
-@query(f"SELECT step AS ts, status, 'sales' AS team, CAST(sum(v) AS DOUBLE) AS f FROM ({_COUNT}) GROUP BY ALL")
-def recording_rule(spark, sf_dir):
-    rows = rules.record(tables.orders(spark, sf_dir), _GROUP.rules[0], _GROUP, ORDERS[0], ORDERS[1], Options(lookback=40 * DAY))
+def _recorded(grid):
+    return f"SELECT step AS ts, status, 'sales' AS team, CAST(sum(v) AS DOUBLE) AS f FROM ({instant(ORDER_COUNT, ['status', 'priority'], grid, 40 * DAY)}) GROUP BY ALL"
+
+
+def _record(spark, sf_dir, grid):
+    group = rules.Group("orders", (_RECORD,), grid[2])
+    rows = rules.record(tables.orders(spark, sf_dir), _RECORD, group, grid[0], grid[1], Options(lookback=40 * DAY))
     return rows.where("not stale").select("ts", L.value(F.col("labels"), "status").alias("status"), L.value(F.col("labels"), "team").alias("team"), "f")
 
 
-_ALERT = rules.AlertRule("Busy", "order_count > 1", hold_ms=70 * DAY)
-_RUNS = (
-    f"WITH a AS (SELECT * FROM ({_COUNT}) WHERE v > 1), b AS (SELECT *, step - {ORDERS[2]} * row_number() OVER (PARTITION BY status, priority ORDER BY step) AS run FROM a), "
-    "c AS (SELECT *, min(step) OVER (PARTITION BY status, priority, run) AS active_at FROM b) "
-    f"SELECT step, status, priority, active_at, CASE WHEN step - active_at >= {70 * DAY} THEN 'firing' ELSE 'pending' END AS state FROM c"
-)
+@query(_recorded(ORDERS))
+def recording_rule(spark, sf_dir):
+    return _record(spark, sf_dir, ORDERS)
 
 
-@query(_RUNS)
-def alert_rule(spark, sf_dir):
-    group = rules.Group("alerts", (_ALERT,), ORDERS[2])
-    out = rules.alert(tables.orders(spark, sf_dir), _ALERT, group, ORDERS[0], ORDERS[1], Options(lookback=40 * DAY)).where("state <> 'resolved'")
+@query(_recorded(WHOLE_ORDERS))
+def whole_recording_rule(spark, sf_dir):
+    return _record(spark, sf_dir, WHOLE_ORDERS)
+
+
+def _runs(grid):
+    count = instant(ORDER_COUNT, ["status", "priority"], grid, 40 * DAY)
+    return (
+        f"WITH a AS (SELECT * FROM ({count}) WHERE v > 1), b AS (SELECT *, step - {grid[2]} * row_number() OVER (PARTITION BY status, priority ORDER BY step) AS run FROM a), "
+        "c AS (SELECT *, min(step) OVER (PARTITION BY status, priority, run) AS active_at FROM b) "
+        f"SELECT step, status, priority, active_at, CASE WHEN step - active_at >= {70 * DAY} THEN 'firing' ELSE 'pending' END AS state FROM c"
+    )
+
+
+def _alerts(spark, sf_dir, grid):
+    group = rules.Group("alerts", (_ALERT,), grid[2])
+    out = rules.alert(tables.orders(spark, sf_dir), _ALERT, group, grid[0], grid[1], Options(lookback=40 * DAY)).where("state <> 'resolved'")
     return out.select("step", L.value(F.col("labels"), "status").alias("status"), L.value(F.col("labels"), "priority").alias("priority"), "active_at", "state")
 
 
+@query(_runs(ORDERS))
+def alert_rule(spark, sf_dir):
+    return _alerts(spark, sf_dir, ORDERS)
+
+
+@query(_runs(WHOLE_ORDERS))
+def whole_alert_rule(spark, sf_dir):
+    return _alerts(spark, sf_dir, WHOLE_ORDERS)
+
+
 _STREAM = (1_704_153_600_000, 1_706_486_400_000, 2 * DAY)
 
 
