@@ -8,7 +8,7 @@ two stages and a lost executor costs no more than tasks of one stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm import bpe, jaccard, mixing, quality, repeats
@@ -23,15 +23,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id.
+    """One row of each group of near duplicates stays: that with the smallest doc_id, without
+    one only if no row of the group has any, then by the text's hash.
 
-    Documents without words or without an id are in no group and stay; rows that repeat
-    the doc_id that stays stay too."""
+    Documents without words are in no group and stay."""
     scratch = Scratch(spark, "pipeline-jaccard")
-    groups = jaccard.link_components(docs.select("doc_id", "text"), scratch)
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    gone = scratch.write(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = jaccard.link_components(docs.select("doc_id", "text"), scratch, keyed=True).where("n_shingles > 0")
+    counted = scratch.write(groups.groupBy("component", "doc_id", "rk").agg(F.count(F.lit(1)).alias("n")), "counted")
+    best = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("best"))
+    marked = counted.join(scratch.write(best, "best"), "component").select("doc_id", "rk", "n", F.expr("doc_id <=> best.doc_id and rk = best.rk").alias("stays"))
+    marked = scratch.write(marked.where("not stays or n > 1").select("doc_id", "rk", "stays"), "marked")
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["doc_id"]) & (jaccard.text_key() == keys["rk"])
+    kept = docs.join(marked, same(marked), "left_anti")
+    twice = marked.where("stays")
+    one = Window.partitionBy("doc_id", jaccard.text_key()).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    once = docs.join(twice, same(twice), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return kept.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

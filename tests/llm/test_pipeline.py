@@ -36,3 +36,13 @@ def test_each_stage_on_its_own_input(spark):
     for r in last:
         ids = theirs.encode(by_id[r["doc_id"]]["text"], add_special_tokens=False).ids
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:59], "x"]), " ".join(f"q{k}" for k in range(60))
+    rows = [(1, text, "a"), (2, near, "a"), (2, other, "a"), (1, text, "b"), (None, near, "a"), (5, "", "a"), (5, "", "a"), (None, "no id", "a"), (None, "NO  id", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text.lower().split()[:2], r.source) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()]
+    want = [(1, ["w0", "w1"], "a"), (2, ["q0", "q1"], "a"), (5, [], "a"), (5, [], "a"), (None, ["no", "id"], "a")]
+    assert sorted(got, key=str) == sorted(want, key=str)

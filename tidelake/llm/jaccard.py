@@ -125,11 +125,12 @@ def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray)
         kernels.tidy()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    source = documents.select("doc_id", "text", _text_key().alias("rk"))
+    source = documents.select("doc_id", "text", text_key().alias("rk"))
     return source.mapInArrow(extract, f"doc_id {kind}, rk long, n long, s1 long, s2 long, prefix array<long>, bits array<long>")
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
+    """What identifies a text in these steps: its 64-bit hash."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
@@ -160,7 +161,7 @@ def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, wid
     needed = members.join(scratch.write(ids, f"{name}-ids"), "cid", "left_semi").select("cid", "rk", F.col("low").alias("doc_id"))
     needed = scratch.write(needed, f"{name}-needed")
     release(scratch)
-    same = documents["doc_id"].eqNullSafe(needed["doc_id"]) & (_text_key() == needed["rk"])
+    same = documents["doc_id"].eqNullSafe(needed["doc_id"]) & (text_key() == needed["rk"])
     # Merged at every size: what is needed grows with the corpus, and a broadcast would not.
     texts = documents.select("doc_id", "text").join(needed.hint("merge"), same).select("cid", "text")
 
@@ -186,14 +187,16 @@ def _verify(candidates: DataFrame, documents: DataFrame, members: DataFrame, wid
     return links
 
 
-def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `documents`.
 
     Two documents link when 100 * |intersection| >= percent * |union|.  A text without
     words (null and empty too) has an empty set and links with nothing; one with fewer
     than `width` words has its whole sequence as one shingle.  component_id is the
     smallest doc_id reachable, null where no document reached has an id.  Repeated rows
-    link as any copies do.  Other columns of the input are not looked at."""
+    link as any copies do.  Other columns of the input are not looked at.  With `keyed` there
+    are also rk, the text's text_key, and component, which identifies the component even
+    without ids and is null for an empty set."""
     levels = frequency_levels(documents, width)
     rows = prefixes(documents, width, percent, levels)
     rows = rows.withColumn("cid", F.xxhash64("n", "s1", "s2")).withColumn("gid", F.xxhash64("n", "prefix"))
@@ -204,7 +207,7 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     members = scratch.write(members.select("cid", "gid", "n", F.col("x.doc_id").alias("low"), F.col("x.rk").alias("rk"), "bits"), "members")
     groups = some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cid").alias("lead"), F.max("cid").alias("other"))
     groups = scratch.write(groups, "groups")
-    rows = scratch.write(rows.select("doc_id", "n", "cid"), "slim")
+    rows = scratch.write(rows.select("doc_id", "rk", "n", "cid") if keyed else rows.select("doc_id", "n", "cid"), "slim")
     scratch.drop("rows")
     release(scratch)
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -253,7 +256,9 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     placed = members.join(found, members["cid"] == found["id"], "left").select("cid", "low", F.coalesce("component", "cid").alias("comp"))
     placed = scratch.write(placed, "final")
     lows = scratch.write(placed.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
-    named = scratch.write(placed.select("cid", "comp").join(lows, "comp").select("cid", "component_id"), "named")
-    slim = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
-    alone = slim.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return slim.where("cid is not null").join(named, "cid").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    named = placed.select("cid", "comp").join(lows, "comp").withColumnRenamed("comp", "component")
+    out = ["doc_id", "n_shingles", "component_id", *(["rk", "component"] if keyed else [])]
+    named = scratch.write(named.select("cid", *[c for c in out if c.startswith("component")]), "named")
+    slim = rows.withColumnRenamed("n", "n_shingles").withColumn("cid", F.when(F.col("n_shingles") > 0, F.col("cid")))
+    alone = slim.where("cid is null").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    return slim.where("cid is not null").join(named, "cid").select(*out).unionByName(alone.select(*out))
