@@ -1,14 +1,16 @@
-"""Removal of repeated passages: corpus-wide suffix order by prefix-free parsing.
+"""Removal of repeated passages by the zones of trigger phrases, grouped by hash.
 
 A byte is repeated if some string of `length` bytes covers it that also starts
 anywhere else, in the same text or another; no string crosses the end of a text.
 
 Texts are cut into phrases by triggers of a rolling hash: the trigger of a string is
 the least hash of `GRAM` bytes among its first `SPAN` places, so equal strings have
-equal triggers and all starts that have one trigger form a zone.  Instead of the
-suffixes themselves, the dictionary of the distinct contexts of triggers is sorted
-(grouped by hash), from coarse to fine, which gives for each start whether its
-neighbour in the suffix order of the corpus shares `length` bytes:
+equal triggers and all starts that have one trigger form a zone.  This takes the triggers
+of prefix-free parsing, but is another method: no parse is built, and no suffix array of
+dictionary or parse.  A suffix order is not needed where all that is asked of it is
+whether a start's neighbour shares `length` bytes; grouping the contexts of triggers by
+hash, from coarse to fine, answers that, without an order of the whole corpus that tasks
+would have to merge.  A suffix array was not built here for comparison.
 
 1. A trigger's own context, `length - SPAN` bytes from it on, is part of every string
    of its zone.  Where it occurs once, nothing in the zone is repeated.
