@@ -53,3 +53,11 @@ def test_components(spark, scratch):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), scratch, "c").collect()}
     assert got == {k: u.find(k) for k in got}
     assert set(got) == {x for a, b in edges if a is not None and a != b for x in (a, b)}
+
+
+def test_levels_count_every_shingle(spark):
+    """A passage that each task sees once counts as one that one task sees four times."""
+    rows = [(k, "a passage that all texts share " + " ".join(f"w{k}x{i}" for i in range(20))) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    thin, dense = (jaccard.frequency_levels(df.repartitionByRange(n, "doc_id"), 3) for n in (4, 1))
+    assert (thin == dense).all() and (thin == 3).sum() == 4

@@ -49,20 +49,20 @@ def _shingle_rows(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.n
 
 
 def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
-    """How often shingles of each sketch slot occur in all texts, as a base-2 logarithm.
+    """How often shingles of each sketch slot occur in all texts, as a base-2 logarithm of
+    what a slot has above the median slot.
 
-    The sketch has 2**SKETCH_BITS slots whatever the input, and a shingle counts where it
-    occurs again among some _COUNTED neighbours.  It only orders shingles, so what it does not
-    tell apart costs time, never a link."""
+    The sketch has 2**SKETCH_BITS slots whatever the input, and every shingle of every text
+    counts, however the texts are dealt to tasks.  The median is what shingles that do not
+    recur put into each slot of a large corpus; without it they would blur the levels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         runs, held = [], 0
 
         def add() -> None:
-            run, n = np.unique(np.concatenate(runs), return_counts=True)
-            slot = (run[n > 1] >> _U(64 - SKETCH_BITS)).astype(np.int64)
-            np.add.at(total, slot, n[n > 1])
+            slot = (np.concatenate(runs) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+            total[:] += np.bincount(slot, minlength=len(total))
             runs.clear()
 
         for batch in batches:
@@ -82,8 +82,11 @@ def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
 
     counted = documents.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # one row for each slot at most
+    n = np.zeros(1 << SKETCH_BITS, np.int64)
+    n[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    above = n - int(np.median(n))
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    levels[table.column("slot").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint8) + 1
+    levels[above > 0] = np.log2(above[above > 0]).astype(np.uint8) + 1
     return levels
 
 
