@@ -91,3 +91,14 @@ def test_graph_recall():
         want = set(np.argsort(-(x @ x[k]))[:6].tolist())
         hits += len(want & {n for _, n in graph.search(x[k], hnsw.SEARCH)[:6]})
     assert hits / 600 >= 0.95
+
+
+def test_nearest_of_one_direction(spark, scratch):
+    """Proportional vectors tie; the smallest ids win, however many there are."""
+    rows = [(300 - k, [float(k), 2.0 * k, 5.0 * k]) for k in range(1, 201)] + [(1000, [1.0, 2.0, 4.0])]
+    df = spark.createDataFrame(rows, ROW).repartition(3)
+    queries = df.where("vec_id in (150, 1000)").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in hnsw.nearest(df, queries, scratch).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {150: [100, 101, 102, 103, 104], 1000: [100, 101, 102, 103, 104]}

@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: a navigable small-world graph for each shard.
 
-Vectors are dealt by hash into shards of about `SHARD`; equal vectors are one node.  A
+Vectors are dealt by hash into shards of about `SHARD`; those of one direction, which have
+the same cosine with any other, are one node.  A
 shard's graph is hierarchical: each node has a random top level, each level a flat array
 of neighbours (n rows of a fixed width, -1 for none).  Graphs and blocks of queries are
 rows; each pair of a shard and a block is searched by itself, and the shards' best are
@@ -166,10 +167,14 @@ def _search(graph: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     names = queries.column("query_id").to_numpy()
     ids, found, scores = [], [], []
     for name, q, u in zip(names, wanted, units(wanted), strict=True):
-        nodes = [node for _, node in searcher.search(u, SEARCH)[:k]]
+        nodes = np.array([node for _, node in searcher.search(u, SEARCH)])
+        score = cosines(x[nodes], np.broadcast_to(q, (len(nodes), dim)))
+        if len(nodes) > k:  # all that tie with the k-th stay, as their smallest vec_id decides
+            best = score >= np.partition(score, -k)[-k]
+            nodes, score = nodes[best], score[best]
         ids.append(np.full(len(nodes), name))
         found.append(cids[nodes])
-        scores.append(cosines(x[nodes], np.broadcast_to(q, (len(nodes), dim))))
+        scores.append(score)
     return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in (ids, found, scores)], schema=kind)
 
 
@@ -182,8 +187,11 @@ def nearest(embeddings: DataFrame, queries: DataFrame, scratch: Scratch, k: int
     other lengths than the query's are no candidates.  A query with fewer candidates
     than k gets all that are found, one without candidates no rows."""
     rows = keyed(embeddings.where("vec_id is not null")).where("cid is not null")
+    largest = F.array_max(F.transform("embedding", F.abs))
+    # As units() does first; proportional vectors have the same quotients.
+    rows = rows.withColumn("cid", F.xxhash64(F.size("embedding"), F.transform("embedding", lambda c: c / largest)))
     rows = scratch.write(rows, "rows")
-    # The smallest k + 1 ids of equal vectors are all that can be among k results besides the query.
+    # The smallest k + 1 ids of one direction are all that can be among k results besides the query.
     same = Window.partitionBy("cid").orderBy("vec_id")
     lowest = rows.select("cid", "vec_id").distinct().withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
     members = scratch.write(lowest.groupBy("cid").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "members")
