@@ -2,6 +2,8 @@ import brute
 import corpus_pipeline
 from tokenizers import Tokenizer
 
+from tidelake.llm import repeats
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -21,7 +23,7 @@ def test_each_stage_on_its_own_input(spark):
     assert sum(labels[i] == 1 and i in kept for i in labels) / sum(labels[i] == 1 for i in labels) > 0.9
     groups = brute.jaccard([(r["doc_id"], r["text"]) for r in good], 5, 80)
     assert {r["doc_id"] for r in single} == {i for i, (_, c) in groups.items() if i == c}
-    want = brute.repeats([r["text"] for r in single])
+    want = brute.repeats([r["text"] for r in single], repeats.PASSAGE)
     by_id = {r["doc_id"]: r for r in cut}
     for r, (size, removed, _, _) in zip(single, want, strict=True):
         assert len(by_id[r["doc_id"]]["text"].encode()) in range(size - removed - 6, size - removed + 1)

@@ -55,8 +55,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake.llm import repeats
 
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = repeats.deduplicate(documents, Scratch(spark, "op5"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = repeats.deduplicate(documents, Scratch(spark, "op5"), passage=repeats.PASSAGE)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
