@@ -42,8 +42,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur again are cut out of the texts."""
-    kept = repeats.deduplicate(docs, Scratch(spark, "pipeline-repeats"), as_text=True)
+    """Passages of `repeats.PASSAGE` bytes (about fifty words) or more that occur again are
+    cut out of the texts."""
+    kept = repeats.deduplicate(docs, Scratch(spark, "pipeline-repeats"), repeats.PASSAGE, as_text=True)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
