@@ -53,31 +53,52 @@ class Hashes:
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1; equal values have equal ranks."""
-    return np.unique(values, return_inverse=True)[1].astype(np.int64) + 1
+    """1 + the number of smaller values; equal values have equal ranks."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(1, len(values) + 1), 0))
+    return rank
 
 
 def _double(rank: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes of sequences by prefix doubling.  rank: of their first `depth`
-    elements, room: elements up to the sequence's end.  An end comes before any element."""
-    most = int(room.max(initial=0))
-    while depth < most:
-        follows = np.zeros(len(rank), np.int64)
-        inside = np.flatnonzero(room > depth)
-        follows[inside] = rank[inside + depth]
-        rank = _ranks(rank * (len(rank) + 1) + follows)
+    elements, room: elements up to the sequence's end.  An end comes before any element.
+    Only places that still tie with a longer suffix are sorted again."""
+    n = len(rank)
+    tied = np.arange(n)
+    while True:
+        many = np.bincount(rank[tied], minlength=n + 1)
+        longer = np.bincount(rank[tied], weights=room[tied] > depth, minlength=n + 1)
+        tied = tied[(many[rank[tied]] > 1) & (longer[rank[tied]] > 0)]
+        if not len(tied):
+            return rank
+        follows = np.zeros(len(tied), np.int64)
+        inside = np.flatnonzero(room[tied] > depth)
+        follows[inside] = rank[tied[inside] + depth]
+        order = np.argsort(rank[tied] * (n + 1) + follows)
+        group, follows = rank[tied][order], follows[order]
+        place = np.arange(len(tied))
+        head = np.ones(len(tied), dtype=bool)
+        head[1:] = group[1:] != group[:-1]
+        first = head.copy()
+        first[1:] |= follows[1:] != follows[:-1]
+        start = np.maximum.accumulate(np.where(head, place, 0))
+        rank = rank.copy()
+        rank[tied[order]] = group + np.maximum.accumulate(np.where(first, place, 0)) - start
         depth *= 2
-    return rank
 
 
 def _phrases(hashes: Hashes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, phrases left in the text with this one) of the phrases of all texts."""
     n = int(offsets[-1])
     places = np.arange(max(n - WINDOW + 1, 0))
-    owner = np.searchsorted(offsets, places, side="right")
-    fits = places + WINDOW <= offsets[owner]
+    found = np.flatnonzero(hashes.of(places, places + WINDOW) % _U(PERIOD) == 0)
+    fits = found + WINDOW <= offsets[np.searchsorted(offsets, found, side="right")]
     cut = np.zeros(n, dtype=bool)
-    cut[places[fits & (hashes.of(places, places + WINDOW) % _U(PERIOD) == 0)]] = True
+    cut[found[fits]] = True
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     begin = np.flatnonzero(cut)
     stop = offsets[np.searchsorted(offsets, begin, side="right")]

@@ -114,16 +114,40 @@ def _text_keys() -> list[Column]:
     return [F.xxhash64(text).alias("_tk"), F.xxhash64(F.lit(7), text).alias("_tl")]
 
 
-def zones(documents: DataFrame, length: int) -> DataFrame:
-    """(_tk, _tl, a, lo, hi, k1, k2): every zone of every text, places in bytes."""
+def _candidates(spans: pa.Array, shorter: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place of each run of starts of longer strings that the spans of starts
+    of strings `shorter` bytes shorter leave possible, as row * 2**32 + place."""
+    lo, hi = (spans.values.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi"))
+    ends = np.asarray(spans.offsets)
+    first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(rows):
+        begin, end = _merge(np.stack([lo[ends[k] : ends[k + 1]], hi[ends[k] : ends[k + 1]]], axis=1), 1)
+        long = end - begin > shorter
+        first.append(begin[long] + (k << 32))
+        last.append(end[long] - 1 - shorter + (k << 32))
+    return np.concatenate(first), np.concatenate(last)
+
+
+def zones(documents: DataFrame, length: int, passage: int | None = None) -> DataFrame:
+    """(_tk, _tl, a, lo, hi, k1, k2): every zone of every text, places in bytes.  With
+    `passage`, those with starts that the column _short, the spans of repeated strings of
+    `passage` bytes, leaves possible: a longer string repeats only where all of its parts do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
             keys = [batch.column(c).to_numpy() for c in ("_tk", "_tl")]
+            possible = _candidates(batch.column("_short"), length - passage, len(batch)) if passage else None
             for i, j, a, b, shift in _pieces(offsets, length - 1):
                 own = offsets[i : j + 1] - a if j > i + 1 else np.array([0, b - a])
-                text, trigger, first, last, context, zone = _zones(data[a:b], own, length)
+                found = _zones(data[a:b], own, length)
+                if possible:
+                    at = (found[0] + i << 32) - own[found[0]] + shift
+                    run = np.searchsorted(possible[1], found[2] + at)
+                    inside = run < len(possible[0])
+                    inside[inside] = possible[0][run[inside]] <= (found[3] + at)[inside]
+                    found = [x[inside] for x in found]
+                text, trigger, first, last, context, zone = found
                 base = own[text] - shift
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -137,7 +161,7 @@ def zones(documents: DataFrame, length: int) -> DataFrame:
         tidy()
 
     schema = "_tk long, _tl long, a int, lo int, hi int, k1 long, k2 long"
-    return documents.select("text", *_text_keys()).mapInArrow(run, schema)
+    return documents.select("text", *_text_keys(), *(["_short"] if passage else [])).mapInArrow(run, schema)
 
 
 def _steps(texts: DataFrame, length: int) -> DataFrame:
@@ -301,10 +325,10 @@ def _by_strings(texts: DataFrame, edges: DataFrame, scratch: Scratch, length: in
     return [more, last]
 
 
-def repeated_starts(documents: DataFrame, scratch: Scratch, length: int = 400) -> DataFrame:
+def repeated_starts(documents: DataFrame, scratch: Scratch, length: int = 400, passage: int | None = None) -> DataFrame:
     """(_tk, _tl, spans): for each text with repeats, spans (lo, hi) of the starts of
-    its repeated strings, as offsets in bytes."""
-    every = scratch.write(zones(documents, length), "zones")
+    its repeated strings, as offsets in bytes.  `passage`: as for zones()."""
+    every = scratch.write(zones(documents, length, passage), "zones")
     twice = every.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
     twice = scratch.write(twice, "contexts")
     shared = scratch.write(every.join(twice, "k1", "left_semi"), "shared")
@@ -368,8 +392,8 @@ def deduplicate(
     source = documents.select(*[F.col(f"`{c}`") for c in columns], *_text_keys())
     if passage:
         short = repeated_starts(documents, Scratch(scratch.spark, "passages"), passage).withColumnRenamed("_spans", "_short")
-        some = source.select("text", "_tk", "_tl").join(short.select("_tk", "_tl"), ["_tk", "_tl"], "left_semi")
-        spans = short.join(repeated_starts(some, scratch, length), ["_tk", "_tl"], "left")
+        some = source.select("text", "_tk", "_tl").join(short, ["_tk", "_tl"])
+        spans = short.join(repeated_starts(some, scratch, length, passage), ["_tk", "_tl"], "left")
         spans = scratch.write(spans, "both")
     else:
         spans = repeated_starts(documents, scratch, length)
