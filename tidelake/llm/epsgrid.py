@@ -6,6 +6,12 @@ sorted by cell; the sorted sequence is cut into blocks.  Two blocks can hold a l
 if their cells adjoin on the two leading dimensions and their bounding boxes are within
 e; other pairs of blocks are never formed.  A pair of blocks is joined by halving the
 larger interval again and again, and skipping halves whose boxes are farther than e.
+Boxes span the leading dimensions and the norm of what is left, as two vectors are no
+nearer than these norms differ.
+
+A block's vectors are sent once for each pair that it is in.  Where vectors fill the
+sphere evenly, no box is small in more than a few dimensions and most pairs of blocks
+stay, so blocks are as large as a task can well hold: what is sent falls with their size.
 
 The rotation is fitted on a sample of `FIT` vectors; it orders and skips, and being a
 rotation it can lose no link.  Equal vectors are one class with a weight.  A pair of
@@ -29,8 +35,9 @@ from tidelake.session import Scratch
 
 FIT = 4096
 LEADING = 12
-BLOCK = 1024
+BLOCK = 8192
 LEAF = 96
+_HELD = 1 << 18
 
 
 def principal(classes: DataFrame, dimension: int) -> np.ndarray:
@@ -49,9 +56,11 @@ def _order(classes: DataFrame, rotation: np.ndarray | None, main: int, e: float)
             for dim in np.unique(batch.column("dim").to_numpy()):
                 part = batch.filter(pa.array(batch.column("dim").to_numpy() == dim))
                 u = units(matrix(part.column("embedding")))
-                lead = (u @ rotation if dim == main and rotation is not None else u)[:, :LEADING]
+                turned = u @ rotation if dim == main and rotation is not None else u
+                rest = np.sqrt((turned[:, LEADING:] ** 2).sum(axis=1, keepdims=True))
+                lead = np.hstack([turned[:, :LEADING], rest])
                 cells = np.zeros((len(u), 4), np.int32)
-                cells[:, : min(4, lead.shape[1])] = np.floor(lead[:, :4] / e)
+                cells[:, : min(4, int(dim))] = np.floor(turned[:, :4] / e)
                 width = lead.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -169,6 +178,19 @@ def _join(x: _Side, y: _Side, same: bool, t: float, e: float) -> Iterator[tuple[
             yield i, j
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in arrays of at least `_HELD`, but for the last."""
+    held, size = [], 0
+    for i, j in pairs:
+        held.append((i, j))
+        size += len(i)
+        if size >= _HELD:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest place reachable from each place."""
     root = np.arange(n)
@@ -195,10 +217,10 @@ def _linked(pairs: DataFrame, t: float, e: float) -> DataFrame:
                 n, m = len(x.cids), 0 if same else len(y.cids)
                 ids, weights = (x.cids, x.ns) if same else (np.append(x.cids, y.cids), np.append(x.ns, y.ns))
                 links, root = np.zeros(n + m, np.int64), np.arange(n + m)
-                for i, j in _join(x, y, same, t, e):
+                for i, j in _gathered(_join(x, y, same, t, e)):
                     j = j if same else j + n
-                    np.add.at(links, i, weights[j])
-                    np.add.at(links, j, weights[i])
+                    for a, b in ((i, j), (j, i)):
+                        links += np.bincount(a, weights[b], n + m).astype(np.int64)
                     root = _forest(n + m, np.concatenate([i, np.arange(n + m)]), np.concatenate([j, root]))
                 have, child = np.flatnonzero(links), np.flatnonzero(root != np.arange(n + m))
                 if len(have):

@@ -8,7 +8,9 @@ rows; each pair of a shard and a block is searched by itself, and the shards' be
 merged by a ranked window, which keeps the best of each task before it shuffles.
 
 Every vector is in the index, no matter how many there are; a shard's size and a block's
-are fixed, so memory is too.
+are fixed, so memory is too.  Each query goes to every shard and each graph to every block,
+so shards and blocks are as large as a task can well hold: a search costs the logarithm
+of a shard's size, and what is sent falls with both sizes.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from tidelake.llm.vectors import cosines, keyed, matrix, units
 from tidelake.session import Scratch
 
-SHARD = 2048
-QUERIES = 512
-WIDTH = 12
+SHARD = 32768
+QUERIES = 8192
+WIDTH = 16
 BUILD = 64
-SEARCH = 96
+SEARCH = 128
 
 
 class Graph:
