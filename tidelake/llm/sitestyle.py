@@ -11,9 +11,10 @@ an importance between 0 and 1:
 * a content node elsewhere: 1 minus the entropy of its text over the host's distinct
   pages, log(k) / log(m) for a text that k of m pages show at that path, so 0 for what
   every page repeats and 1 for what one page has alone;
-* where a page has an article or main part, that is a prior of 1 for the nodes inside and
-  0 for those outside, which weighs as much as the statistics of PRIOR_PAGES pages: it
-  decides on small hosts, the entropy on large ones;
+* where a page's article or main part (or else an element with a class or id for it, such
+  as "content") holds at least half of its text, that is a prior of 1 for the nodes inside
+  and 0 for those outside, which weighs as much as the statistics of PRIOR_PAGES pages:
+  it decides on small hosts, the entropy on large ones;
 * a class or id that has such a word among others ("with-sidebar", "overflow-hidden") takes
   HINT of the importance of the nodes below, but for articles and main parts;
 * a path: the mean of its content nodes' importances.
@@ -30,6 +31,7 @@ import hashlib
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,21 +91,27 @@ _SAME = {
 }
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True)
+
+
 class Node:
-    """An element; `prior` is 0 or 1 where its tag or attributes tell what it is, `weak`
-    tells that it or one around it, up to an article or main part, hints at furniture."""
+    """An element; `path` hashes those of the root on, `prior` is 0 or 1 where its tag or
+    attributes tell what it is.  `grade` has bit 2 in an article or main part and bit 1 in
+    an element whose class or id names the main text; `weak` tells that it or one around it,
+    up to an article or main part, hints at furniture."""
 
-    __slots__ = ("tag", "path", "prior", "noise", "main", "weak")
+    __slots__ = ("tag", "path", "prior", "noise", "grade", "weak")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag = tag
         found = _attributes(attributes) if attributes else {}
         mark = f"{tag}.{found.get('class', '')}#{found.get('id', '')}" if found else tag
-        self.path = f"{parent.path}/{mark}" if parent else mark
-        inside = parent is not None and parent.main
-        self.prior, weak = _prior(tag, found, inside)
+        self.path = _hash(f"{parent.path}/{mark}" if parent else mark)
+        around = parent.grade if parent else 0
+        self.prior, weak = _prior(tag, found, around & 2 > 0)
         self.noise = (parent is not None and parent.noise) or self.prior == 0
-        self.main = not self.noise and (inside or self.prior == 1)
+        self.grade = 0 if self.noise else around | _named(found) | 2 * (self.prior == 1)
         self.weak = self.prior != 1 and (weak or (parent is not None and parent.weak))
 
 
@@ -116,6 +124,15 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def _named(found: dict[str, str]) -> int:
+    """1 if a class or id is made of words for a page's main text alone."""
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+        if words and words <= MAIN_WORDS:
+            return 1
+    return 0
+
+
 def _prior(tag: str, found: dict[str, str], inside: bool) -> tuple[int | None, bool]:
     """(prior, weak): a class or id made of furniture words alone is taken at its word, one
     that has such a word among others is a hint."""
@@ -142,11 +159,12 @@ def _prior(tag: str, found: dict[str, str], inside: bool) -> tuple[int | None, b
     return None, weak
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
-    """(path, text, noise, prior, weak): the text blocks of a page in order; prior is 1 inside
-    an article or main part, weak where a class or id hints at furniture."""
-    out: list[tuple[str, str, bool, int | None, bool]] = []
+def blocks(page: str) -> list[tuple[int, str, bool, int, bool]]:
+    """(path, text, noise, grade, weak): the text blocks of a page in order, with what
+    their elements' nodes tell.  Work grows with the page's length, however deep it nests."""
+    out: list[tuple[int, str, bool, int, bool]] = []
     stack: list[Node] = []
+    count: Counter[str] = Counter()  # of open elements by tag
     pending: list[str] = []
     holder: Node | None = None
     at = 0
@@ -156,9 +174,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text and holder is not None:
-                out.append((holder.path, text, holder.noise, 1 if holder.main else None, holder.weak))
+                out.append((holder.path, text, holder.noise, holder.grade, holder.weak))
             elif text:
-                out.append(("", text, False, None, False))
+                out.append((0, text, False, 0, False))
             pending.clear()
         holder = None
 
@@ -178,6 +196,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
     def close_to(k: int) -> None:
         if any(n.tag in BLOCK or n.tag in NOISE_TAGS for n in stack[k:]):
             flush()
+        count.subtract(n.tag for n in stack[k:])
         del stack[k:]
 
     while True:
@@ -194,7 +213,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if count[tag] else ():
                 if stack[k].tag == tag:
                     close_to(k)
                     break
@@ -211,7 +230,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
                 flush()
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if count["p"] else ():
                 if stack[k].tag == "p":
                     close_to(k)
                     break
@@ -219,7 +238,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
                     break
         if tag in _SAME:
             same, until = _SAME[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(count[t] for t in same) else ():
                 if stack[k].tag in until:
                     break
                 if stack[k].tag in same:
@@ -237,22 +256,23 @@ def blocks(page: str) -> list[tuple[str, str, bool, int | None, bool]]:
             at = page.find(">", end.start()) + 1 or len(page)
             continue
         stack.append(Node(tag, m[3], stack[-1] if stack else None))
+        count[tag] += 1
     flush()
     return out
 
 
-def settle(found: list[tuple[str, str, bool, int | None, bool]]) -> tuple[str | None, list[tuple[tuple[str, int | None, bool], str]]]:
-    """("", []) of a page of furniture alone, else (None, the other blocks as ((path, prior, weak), text)).
-
-    On a page with an article or main part, the prior of blocks outside of it is 0."""
-    rest = [(path, text, prior, weak) for path, text, noise, prior, weak in found if not noise]
-    outside = 0 if any(prior == 1 for _, _, prior, _ in rest) else None
-    rest = [((path, outside if prior is None else prior, weak), text) for path, text, prior, weak in rest]
-    return (None, rest) if rest else ("", [])
-
+def settle(found: list[tuple[int, str, bool, int, bool]]) -> list[tuple[tuple[int, int | None, bool], str]]:
+    """The blocks that are not furniture as ((path, prior, weak), text).
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.md5(text.encode("utf-8", "replace")).digest()[:8], "little", signed=True)
+    If articles and main parts hold at least half of their text, or else the elements named
+    so, the prior is 1 inside and 0 outside of these; on other pages (a story beside an
+    article that is a teaser) there is none."""
+    rest = [(path, text, grade, weak) for path, text, noise, grade, weak in found if not noise]
+    whole = sum(len(text) for _, text, _, _ in rest)
+    for bit in (2, 1):
+        if rest and 2 * sum(len(text) for _, text, grade, _ in rest if grade & bit) >= whole:
+            return [((path, int(grade & bit > 0), weak), text) for path, text, grade, weak in rest]
+    return [((path, None, weak), text) for path, text, _, weak in rest]
 
 
 def _host() -> Column:
@@ -270,12 +290,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 part = batch.slice(start, 128)
                 hashes, parts = [], []
                 for page in part.column("html").to_pylist():
-                    rest = settle(blocks(page or ""))[1]
+                    rest = settle(blocks(page or ""))
                     hashes.append(_hash("\n".join(t for _, t in rest)))
-                    paths = {path: _hash(path) for (path, _, _), _ in rest}
                     parts.append(
                         [
-                            {"seq": k, "path": paths[path], "h": _hash(text), "prior": prior, "weak": weak}
+                            {"seq": k, "path": path, "h": _hash(text), "prior": prior, "weak": weak}
                             for k, ((path, prior, weak), text) in enumerate(rest)
                         ]
                     )
@@ -298,7 +317,7 @@ def cut_pages(pages: DataFrame) -> DataFrame:
                 texts = []
                 for page, drop in zip(part.column("html").to_pylist(), part.column("drop").to_pylist(), strict=True):
                     gone = set(drop or ())
-                    rest = settle(blocks(page or ""))[1]
+                    rest = settle(blocks(page or ""))
                     texts.append(" ".join(text for k, (_, text) in enumerate(rest) if k not in gone))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
