@@ -61,6 +61,21 @@ def test_edge_rows(spark, documents, none):
     assert mixing.taken(mixing.plan_mix(none, Scratch(spark, "mix"), depth=2)).count() == 0
 
 
+def test_shards_follow_the_total(spark, documents, monkeypatch):
+    """No part of a shard is far above SHARD_WORDS, and neither shards nor parts change what is taken."""
+    docs = documents.select("doc_id", "text", "source")
+    taken = lambda mix: sorted((str(r.doc_id), r.text or "", r.taken) for r in mixing.taken(mix).collect())
+    one = mixing.plan_mix(docs, Scratch(spark, "mix"))
+    assert one.parts == 1 and {r._shard for r in mixing.mixed(one, ["doc_id"]).collect()} == {0}
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 11)
+    monkeypatch.setattr(mixing, "MOST_DEPTH", 2)
+    many = mixing.plan_mix(docs, Scratch(spark, "mix"))
+    assert taken(one) == taken(many)
+    rows = mixing.mixed(many, ["doc_id", "text"]).collect()
+    assert many.parts > 4 and {r._shard for r in rows} <= set(range(4)) and max(r._part for r in rows) < many.parts
+    assert len(rows) == mixing.mixed(one, ["doc_id"]).count()
+
+
 def test_tree_splits_quotas_exactly(spark):
     row = spark.createDataFrame([([700, 3, 0, 41],)], "quotas array<long>")
     leaves = mixing._shards(row, 5, 4).collect()

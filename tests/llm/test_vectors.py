@@ -43,6 +43,22 @@ def test_near_duplicates(spark, scratch, vectors):
     assert epsgrid.near_duplicates(spark.createDataFrame([], ROW), Scratch(spark, "test")).count() == 0
 
 
+def test_many_blocks_and_shards(spark, vectors, monkeypatch):
+    """Small blocks and shards give the links of large ones, and all but the same neighbours."""
+    df = spark.createDataFrame(vectors + ODD, ROW).repartition(4)
+    queries = df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    links = lambda: sorted(map(str, epsgrid.near_duplicates(df, Scratch(spark, "test")).collect()))
+    found = lambda: {(r.query_id, r["rank"]): r.score for r in hnsw.nearest(df, queries, Scratch(spark, "test")).collect()}
+    whole, best = links(), found()
+    monkeypatch.setattr(epsgrid, "BLOCK", 40)
+    monkeypatch.setattr(hnsw, "SHARD", 60)
+    monkeypatch.setattr(hnsw, "QUERIES", 7)
+    assert links() == whole
+    again = found()
+    assert again.keys() == best.keys()
+    assert sum(again[k] >= best[k] - 1e-12 for k in best) >= 0.95 * len(best)
+
+
 def test_blocks_and_recursion(monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))

@@ -23,6 +23,7 @@ before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ from tidelake.llm import kernels
 from tidelake.llm.components import connected_components
 from tidelake.session import Scratch, release
 
-SKETCH_BITS = 20
+#: The sketch has a slot for about every SLOT_BYTES bytes of text, 2**20 to 2**24 of them.
+SLOT_BYTES = 1 << 10
+LEAST_BITS, MOST_BITS = 20, 24
 BITMAP = 1024
 _COUNTED = 1 << 21
 _U = np.uint64
@@ -52,16 +55,20 @@ def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
     """How often shingles of each sketch slot occur in all texts, as a base-2 logarithm of
     what a slot has above the median slot.
 
-    The sketch has 2**SKETCH_BITS slots whatever the input, and every shingle of every text
-    counts, however the texts are dealt to tasks.  The median is what shingles that do not
+    The sketch grows with the corpus until its levels are 16 MB (a byte for each slot), which
+    is what each task gets.  Every shingle of every text counts, however the texts are dealt
+    to tasks.  The median is what shingles that do not
     recur put into each slot of a large corpus; without it they would blur the levels."""
 
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / SLOT_BYTES)))))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         runs, held = [], 0
 
         def add() -> None:
-            slot = (np.concatenate(runs) >> _U(64 - SKETCH_BITS)).astype(np.int64)
+            slot = (np.concatenate(runs) >> _U(64 - bits)).astype(np.int64)
             total[:] += np.bincount(slot, minlength=len(total))
             runs.clear()
 
@@ -82,10 +89,10 @@ def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
 
     counted = documents.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # one row for each slot at most
-    n = np.zeros(1 << SKETCH_BITS, np.int64)
+    n = np.zeros(1 << bits, np.int64)
     n[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     above = n - int(np.median(n))
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    levels = np.zeros(1 << bits, np.uint8)
     levels[above > 0] = np.log2(above[above > 0]).astype(np.uint8) + 1
     return levels
 
@@ -94,11 +101,13 @@ def prefixes(documents: DataFrame, width: int, percent: int, levels: np.ndarray)
     """(doc_id, rk, n, s1, s2, prefix, bits): rk identifies the text, s1 and s2 the set;
     bits has a bit set for the hash of each element."""
 
+    shift = _U(64 - int(math.log2(len(levels))))
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, owner in _shingle_rows(batch.column("text"), width):
                 n = np.bincount(owner, minlength=j - i)
-                level = levels[(h >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+                level = levels[(h >> shift).astype(np.int64)]
                 order = np.lexsort((h, level, owner))
                 first = np.append(0, np.cumsum(n))
                 keep = n - -(-n * percent // 100) + 1
@@ -240,10 +249,14 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     open_lists = scratch.write(open_lists, "open-lists")
     divided = scratch.write(open_lists.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token"), "divided")
     open_lists = scratch.write(open_lists.join(divided, "token", "left_semi"), "divided-lists")
-    left = open_lists.select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "lo", "hi")])
-    right = open_lists.select("token", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "lo", "hi")])
+    # Lists are divided by size: similar sets are in the same band or in bands side by side.
+    band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    open_lists = open_lists.withColumn("band", band.cast("long"))
+    beside = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if percent < 100 else (0,))])).alias("band")
+    left = open_lists.select("token", "band", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "lo", "hi")])
+    right = open_lists.select("token", beside, *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "lo", "hi")])
     settled = F.expr("lo_x = hi_x and lo_y = hi_y and lo_x = lo_y")
-    rest = left.join(right, (left["token"] == right["token"]) & F.expr("gid_x < gid_y") & ~settled & _fits(percent, "n_x", "pos_x", "n_y", "pos_y"))
+    rest = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("gid_x < gid_y") & ~settled & _fits(percent, "n_x", "pos_x", "n_y", "pos_y"))
     rest = rest.select(F.col("gid_x").alias("x"), F.col("gid_y").alias("y")).distinct()
     rest = scratch.write(rest.unionByName(spans.where("lo < hi").select(F.col("gid").alias("x"), F.col("gid").alias("y"))), "rest")
     scratch.drop("listed", "open-lists", "divided", "divided-lists", "star")

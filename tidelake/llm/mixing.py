@@ -16,14 +16,19 @@ node draws how many instances of each source go to its left half, by a multivari
 hypergeometric draw, so a shard's composition is that of a uniform shuffle of the whole
 mix, without the shuffle.  A shard then takes its quota from each source's permuted
 instances, a range that no other shard takes, and orders its documents by a hash.
+There is a shard for about every `SHARD_WORDS` words of the mix, and 1024 at most; beyond
+that each shard is dealt by a hash into as many parts as bring a part back to that size,
+and a part, not a shard, is what one task shuffles.
 
 Main path: DataFrame functions only.  What meets in one row is one entry for each
-source and 256 for each of its blocks, never documents; documents are read once,
+source and 256 for each of its blocks (some ten thousand sources: a few megabytes), and
+a number for each source and shard, never documents; documents are read once,
 aggregated with partial sums, and joined with the plan by (source, block).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,16 +39,21 @@ from tidelake.session import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 FAN = 256
 LEVELS = 3
+#: Words of an output shard, until there are 2**MOST_DEPTH; larger shards go in parts.
+SHARD_WORDS = 1 << 24
+MOST_DEPTH = 10
 
 
 @dataclass(frozen=True)
 class Mix:
     """documents: the input with _key (source), _h, _size and the blocks _b0, _b1, _b2.
-    sources: one row for each source.  plan: one row for each source and block taken."""
+    sources: one row for each source.  plan: one row for each source and block taken.
+    parts: of a shard, each for one task."""
 
     documents: DataFrame
     sources: DataFrame
     plan: DataFrame
+    parts: int
 
 
 def sized(documents: DataFrame, seed: int) -> DataFrame:
@@ -180,8 +190,8 @@ def _shards(row: DataFrame, seed: int, depth: int) -> DataFrame:
     return nodes
 
 
-def plan_mix(documents: DataFrame, scratch: Scratch, most: int = 3, depth: int = 6, seed: int = 17) -> Mix:
-    """Plan the mix of all `documents` over 2**depth shards.
+def plan_mix(documents: DataFrame, scratch: Scratch, most: int = 3, depth: int | None = None, seed: int = 17) -> Mix:
+    """Plan the mix of all `documents` over 2**depth shards, by default as the total asks for.
 
     An empty table gives an empty plan; sources without words have target 0 and take
     nothing.  The plan depends on the rows alone, so reruns agree."""
@@ -189,6 +199,10 @@ def plan_mix(documents: DataFrame, scratch: Scratch, most: int = 3, depth: int =
     slim = scratch.write(d.select("_key", "_h", "_size", "_b0", "_b1", "_b2"), "sized")
     sums = scratch.write(slim.groupBy("_key", "_b0").agg(F.sum("_size").alias("size")), "blocks")
     targets = scratch.write(_targets(sums, most), "targets")
+    words = targets.select(F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["size"])).first()[0]
+    if depth is None:
+        depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, words / SHARD_WORDS)))))
+    parts = max(1, math.ceil(words / (SHARD_WORDS << depth)))
     sources = targets.select(F.posexplode("all").alias("i", "x")).select(
         "i", F.col("x.key").alias("_key"), "x.source", "x.w", F.col("x.size").alias("source_size"), "x.target"
     )
@@ -250,20 +264,17 @@ def plan_mix(documents: DataFrame, scratch: Scratch, most: int = 3, depth: int =
     shards = _shards(quotas, seed, depth)
     shards = shards.agg(F.array_sort(F.collect_list(F.struct((F.col("node") - (1 << depth)).alias("shard"), "quotas"))).alias("shards"))
     shards = scratch.write(shards, "shards")  # one row: 2**depth numbers for each source
-    ends = F.aggregate(
-        "shards",
-        F.array(F.lit(0).cast("long")),
-        lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(s["quotas"], (F.col("i") + 1).cast("int")))),
-    )
-    dealt = sources.join(F.broadcast(shards)).withColumn("ends", ends)  # one row, of a size that `depth` and the sources give
-    shard = lambda k: F.size(F.filter(F.slice("ends", 2, 1 << depth), lambda e: e <= k))
-    placed = F.transform("instances", lambda x, k: F.struct(x["r"].alias("repeat"), x["b"].alias("b"), x["part"].alias("part"), shard(k).alias("shard")))
+    # The shard of each instance in turn: a shard's number as often as its quota says.
+    quota = lambda s: F.element_at(s["quotas"], (F.col("i") + 1).cast("int")).cast("int")
+    shard = F.flatten(F.transform("shards", lambda s: F.array_repeat(s["shard"].cast("int"), quota(s))))
+    dealt = sources.join(F.broadcast(shards)).withColumn("of", shard)  # one row, of a size that `depth` and the sources give
+    placed = F.zip_with("instances", "of", lambda x, s: F.struct(x["r"].alias("repeat"), x["b"].alias("b"), x["part"].alias("part"), s.alias("shard")))
     dealt = dealt.select("_key", "taken1", "open1", "taken2", "open2", "last", F.explode(placed).alias("p"))
     plan = dealt.groupBy("_key", F.col("p.b").alias("_b0")).agg(
         F.array_sort(F.collect_list(F.struct("p.repeat", "p.shard", "p.part"))).alias("draws"),
         F.first(F.when(F.col("p.part"), F.struct("taken1", "open1", "taken2", "open2", "last")), ignorenulls=True).alias("part"),
     )
-    return Mix(d, sources.select("_key", "source", "source_size", "target"), scratch.write(plan, "plan"))
+    return Mix(d, sources.select("_key", "source", "source_size", "target"), scratch.write(plan, "plan"), parts)
 
 
 def _draws() -> Column:
@@ -287,8 +298,9 @@ def taken(mix: Mix) -> DataFrame:
 
 
 def mixed(mix: Mix, columns: list[str], seed: int = 17) -> DataFrame:
-    """The mix itself: one row for each drawn copy of a document, with `shard` and
-    `place`, a hash by which a shard's rows are shuffled."""
+    """The mix itself: one row for each drawn copy of a document, with _shard, _part (of
+    the shard, by a hash) and _place, a hash by which a part's rows are shuffled."""
     rows = taken(mix).select(*[F.col(f"`{c}`") for c in columns], "_h", F.explode("draws").alias("_x"))
     place = F.xxhash64(F.lit(seed + 5), "_h", "_x.repeat")
-    return rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_x.shard").alias("_shard"), place.alias("_place"))
+    part = F.pmod(F.xxhash64(F.lit(seed + 6), "_h", "_x.repeat"), F.lit(mix.parts)).cast("int")
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_x.shard").alias("_shard"), part.alias("_part"), place.alias("_place"))

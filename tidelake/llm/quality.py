@@ -142,7 +142,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> QualityModel:
     """Fit on at most `sample` labelled rows that are not held out, taken in the order
     of a hash of doc_id.  Rows without text, id or label teach nothing; an id with
-    several labels counts as its smallest."""
+    several labels counts as its smallest, one with several texts as its greatest, so the
+    bound holds for rows too.  doc_id may be of any type that orders as text."""
     chosen = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -153,6 +154,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Qualit
     )
     texts = documents.where("text is not null").select("doc_id", "text")
     rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids and labels
+    rows = rows.groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +164,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Qualit
                 cuts = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id")[i:j].cast(pa.int64()),
+                        batch.column("doc_id")[i:j],
                         batch.column("quality")[i:j].cast(pa.int32()),
                         pa.ListArray.from_arrays(cuts, pa.array(slot.astype(np.int32))),
                     ],
                     ["doc_id", "quality", "slots"],
                 )
 
-    table = rows.mapInArrow(extract, "doc_id long, quality int, slots array<int>").toArrow()
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text")
+    table = rows.mapInArrow(extract, "doc_id string, quality int, slots array<int>").toArrow()
     table = table.sort_by("doc_id").combine_chunks()
     slots = table.column("slots")
     features = [np.asarray(x.values) for x in slots] if len(slots) else []
