@@ -49,11 +49,11 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all sources to their target weights, shuffled inside its shards; a
+    """The mix of all sources to their target weights, shuffled inside the parts of its shards; a
     document that it takes twice or thrice is as many rows."""
     mix = mixing.plan_mix(docs, Scratch(spark, "pipeline-mix"))
     rows = mixing.mixed(mix, docs.columns)
-    rows = rows.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    rows = rows.repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_place")
     return rows.select(*docs.columns)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,21 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSessi
 class Scratch:
     """Parquet tables in the folder that driver and executors share.
 
-    The folder is `spark.checkpoint.dir` of the session; only where that is unset
-    (a local session) a folder under /tmp takes its place.  A written table survives
+    The folder is `spark.checkpoint.dir` of the session; only where that is unset in a
+    local session a folder under /tmp takes its place.  On a cluster, where executors do
+    not share /tmp, it must be set.  A written table survives
     lost executors, as any task can read it again.  Tables go when `drop` is called
     or, at the latest, when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidelake-scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^-]*\])?", master):
+                raise ValueError(f"spark.checkpoint.dir is unset; master {master!r} needs a folder that all executors share")
+            base = "file:///tmp/tidelake-scratch"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove, spark, self.root)
 
