@@ -94,8 +94,8 @@ def limit_ratio(df: DataFrame, ratio: Column) -> DataFrame:
     of its complement.  Ratios beyond 1 count as 1."""
     bad = F.raise_error(F.lit("ratio value is NaN")).cast("double")
     ratio = F.when(F.isnan(ratio), bad).otherwise(F.greatest(num(-1.0), F.least(num(1.0), ratio)))
-    h = F.xxhash64("metric", "key").cast("double")
-    place = (h + 2.0**63) / 2.0**64
+    digits = F.substring(F.md5(F.concat(F.coalesce("metric", F.lit("")), "key")), 1, 13)
+    place = F.conv(digits, 16, 10).cast("double") / 2.0**52
     return df.where(F.when(ratio >= 0, place < ratio).otherwise(place >= 1 + ratio))
 
 

@@ -413,33 +413,54 @@ _CHUNK_TYPE = pa.schema(
 )
 
 
-def encode_chunks(rows: DataFrame, size: int = 1000, code: str = "auto") -> DataFrame:
+def encode_chunks(rows: DataFrame, size: int = 1000, code: str = "auto", cut_ms: int = 2_592_000_000) -> DataFrame:
     """Chunks of at most `size` samples from quantized rows (series_id, ts, q, special, bound).
 
-    A chunk is a group of bounded size, so a series of any length is many groups."""
-    place = F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1
-    rows = rows.withColumn("chunk", F.floor(place / size).cast("long"))
+    Series are dealt to tasks by spans of `cut_ms`, so a long series is many tasks and no chunk
+    crosses a span; a task sorts its rows and cuts chunks as they come.  A chunk's number is
+    its first time."""
 
-    def encode(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ts")
-        ts = table.column("ts").to_numpy()
-        kinds = table.column("special").to_numpy()
-        bounds = np.unique(table.column("bound").to_numpy())
-        if len(bounds) != 1:
+    def chunk(s: int, ts: np.ndarray, q: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> dict:
+        if (bounds != bounds[0]).any():
             raise ValueError("a chunk cannot hold samples of different error bounds")
-        q = table.column("q").combine_chunks().drop_null().to_numpy().astype(np.int64)
-        z = to_zigzag(np.diff(q, prepend=np.int64(0)))
+        z = to_zigzag(np.diff(q[kinds == 0], prepend=np.int64(0)))
         name = choose_code(z) if code == "auto" else code
         times = bitpacking_encode(to_zigzag(np.diff(np.diff(ts, prepend=ts[0]), prepend=0)))
         odd = np.flatnonzero(kinds)
         specials = odd.astype(np.int32).tobytes() + kinds[odd].astype(np.int8).tobytes()
-        row = {
-            "series_id": table.column("series_id")[0].as_py(), "chunk": table.column("chunk")[0].as_py(), "mint": int(ts[0]), "maxt": int(ts[-1]), "n": len(ts),
+        return {
+            "series_id": s, "chunk": int(ts[0]), "mint": int(ts[0]), "maxt": int(ts[-1]), "n": len(ts),
             "bound": float(bounds[0]), "code": name, "times": times, "data": CODES[name][0](z), "specials": specials,
         }
-        return pa.Table.from_pylist([row], _CHUNK_TYPE)
 
-    return rows.select("series_id", "chunk", "ts", "q", "special", "bound").groupBy("series_id", "chunk").applyInArrow(encode, _CHUNK)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def cut(table: pa.Table, last: bool) -> tuple[list[dict], pa.Table | None]:
+            """The table's chunks, and its rows that may belong to a chunk with more to come."""
+            q = table.column("q").fill_null(0).to_numpy()
+            series, span, ts, kinds, bounds = (table.column(c).to_numpy() for c in ("series_id", "span", "ts", "special", "bound"))
+            new = np.flatnonzero((series[1:] != series[:-1]) | (span[1:] != span[:-1])) + 1
+            starts = np.concatenate([np.arange(a, b, size) for a, b in zip([0, *new], [*new, len(ts)], strict=True)]).astype(np.int64)
+            ends = np.append(starts[1:], len(ts))
+            if not last:
+                starts, ends = starts[:-1], ends[:-1]
+            made = [chunk(int(series[a]), ts[a:b], q[a:b], kinds[a:b], bounds[a:b]) for a, b in zip(starts, ends, strict=True)]
+            return made, None if last else table.slice(int(ends[-1]) if len(ends) else 0)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            made, rest = cut(table.combine_chunks(), False)
+            if made:
+                yield pa.RecordBatch.from_pylist(made, _CHUNK_TYPE)
+        if rest is not None and rest.num_rows:
+            yield pa.RecordBatch.from_pylist(cut(rest.combine_chunks(), True)[0], _CHUNK_TYPE)
+
+    rows = rows.select("series_id", F.floor(F.col("ts") / cut_ms).alias("span"), "ts", "q", "special", "bound")
+    return rows.repartition("series_id", "span").sortWithinPartitions("series_id", "span", "ts").mapInArrow(encode, _CHUNK)
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:

@@ -21,11 +21,8 @@ def classify(samples: DataFrame, out_of_order_ms: int = 0, min_valid: int | None
     before; with a window, one that is late by no more than the window behind the newest
     of all series is accepted out of order, unless its time is taken already."""
     own = Window.partitionBy("series_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    # The newest time of the whole store before each arrival: newest of each arrival, then a running maximum over arrivals.
-    each = samples.groupBy("arrival").agg(F.max("ts").alias("m"))
-    head = each.select("arrival", F.max("m").over(Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)).alias("head"))
+    head = _running_head(samples.groupBy("arrival").agg(F.max("ts").alias("m")))
     newest = F.max("ts").over(own)
-    same = F.max_by(F.struct("ts", "f"), F.struct("ts", "arrival")).over(own)
     first_at = F.row_number().over(Window.partitionBy("series_id", "ts").orderBy("arrival"))
     first_value = F.first("f").over(Window.partitionBy("series_id", "ts").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = samples.join(head, "arrival").withColumn("newest", newest).withColumn("n", first_at).withColumn("first_value", first_value)
@@ -41,10 +38,24 @@ def classify(samples: DataFrame, out_of_order_ms: int = 0, min_valid: int | None
         .when(F.col("ts") >= F.col("head") - out_of_order_ms, "out_of_order_accepted")
         .otherwise("too_old")
     )
-    del same
     return rows.withColumn("verdict", verdict).drop("head", "newest", "n", "first_value")
 
 
+def _running_head(each: DataFrame, ranges: int = 1024) -> DataFrame:
+    """(arrival, head): the newest time before each arrival, from the newest of each (arrival, m).
+
+    The running maximum is taken inside ranges of arrivals, which are tasks of their own, and
+    what the ranges before have reached, a row for each range, is carried in."""
+    low, high = each.agg(F.min(F.col("arrival").cast("double")), F.max(F.col("arrival").cast("double"))).first()
+    width = max((high - low) / ranges, 1e-9) if low is not None else 1.0
+    each = each.withColumn("_range", F.floor((F.col("arrival").cast("double") - (low or 0.0)) / width))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    reached = each.groupBy("_range").agg(F.max("m").alias("m"))
+    carried = reached.select("_range", F.max("m").over(before(Window.orderBy("_range"))).alias("carried"))
+    inside = F.max("m").over(before(Window.partitionBy("_range").orderBy("arrival")))
+    return each.withColumn("inside", inside).join(carried, "_range").select("arrival", F.greatest("inside", "carried").alias("head"))
+
+
 def min_valid_time(max_time: int, block_ms: int = BLOCK_MS, floor: int | None = None) -> int:
     """The oldest time that the newest, open block takes."""
     found = max_time - block_ms // 2
@@ -109,8 +120,9 @@ def block_start(ts: Column, size: int = BLOCK_MS) -> Column:
 
 def plan_compaction(blocks: list[Block], ranges: list[int]) -> list[Block]:
     """The blocks to merge next: overlapping ones first; else those that fill a span of the
-    smallest larger range, the newest block left alone; else the oldest block of which more
-    than a twentieth of the series have deletions."""
+    smallest larger range, the newest block left alone; else, from the newest of the others
+    back, a block that is deleted as a whole, or one of at least the middle range of which
+    more than a twentieth of the series have deletions."""
     blocks = sorted(blocks, key=lambda b: (b.start, b.end))
     if overlapping := _overlapping(blocks):
         return overlapping
@@ -126,10 +138,13 @@ def plan_compaction(blocks: list[Block], ranges: list[int]) -> list[Block]:
             done = blocks[-1].start >= at + size  # no later data of this span to come
             if len(found) > 1 and (whole or done):
                 return found
-    for b in older:
-        if b.end - b.start >= ranges[-1] // 2 or b is older[0]:
-            if b.n_series and b.n_deleted / (b.n_series + 1) > 0.05:
-                return [b]
+    for b in reversed(older):
+        if b.n_series and b.n_deleted >= b.n_series:
+            return [b]
+        if b.end - b.start < ranges[len(ranges) // 2]:
+            return []
+        if b.n_deleted / (b.n_series + 1) > 0.05:
+            return [b]
     return []
 
 

@@ -167,7 +167,9 @@ def _register(prefix: str, events: Grid, orders: Grid, lines: Grid, offsets: Gri
     _event("topk", "topk by (event_type) (2, event_value)", _EL, f"SELECT step, event_type, user_id, v FROM ({_value}) QUALIFY row_number() OVER (PARTITION BY step, event_type ORDER BY v DESC, '{{\"event_type\":\"' || event_type || '\",\"user_id\":\"' || user_id || '\"}}') <= 2")
     _event("bottomk", "bottomk(3, event_value)", _EL, f"SELECT step, event_type, user_id, v FROM ({_value}) QUALIFY row_number() OVER (PARTITION BY step ORDER BY v, '{{\"event_type\":\"' || event_type || '\",\"user_id\":\"' || user_id || '\"}}') <= 3")
     _event("limitk", "limitk by (event_type) (2, event_value)", _EL, f"SELECT step, event_type, user_id, v FROM ({_value}) QUALIFY row_number() OVER (PARTITION BY step, event_type ORDER BY '{{\"event_type\":\"' || event_type || '\",\"user_id\":\"' || user_id || '\"}}') <= 2")
-    _event("limit_ratio", "limit_ratio(0.4, event_value) or limit_ratio(-0.6, event_value)", _EL, _value)
+    _place = "('0x' || substr(md5('event_value{\"event_type\":\"' || event_type || '\",\"user_id\":\"' || user_id || '\"}'), 1, 13))::BIGINT / 4503599627370496.0"
+    _event("limit_ratio", "limit_ratio(0.4, event_value)", _EL, f"SELECT * FROM ({_value}) WHERE {_place} < 0.4")
+    _event("limit_ratio_rest", "limit_ratio(-0.6, event_value)", _EL, f"SELECT * FROM ({_value}) WHERE {_place} >= 0.4")
     _order("count_values", 'count_values by (status) ("n", order_count)', ["status", "n"], f"SELECT step, status, CAST(CAST(v AS BIGINT) AS VARCHAR) AS n, CAST(count(*) AS DOUBLE) AS v FROM ({_count}) GROUP BY ALL")
 
     # Arithmetic, comparisons, vector matching, set operators.

@@ -12,7 +12,7 @@ from tidelake.operators import labels as L
 from tidelake.plans.api import Session
 from tidelake.plans.engine import Options
 from tidelake.plans.registry import DAY, EVENT_VALUE, ORACLE_SQL, ORDER_COUNT, ORDERS, QUERIES, WHOLE_ORDERS, instant, steps
-from tidelake.session import read_table
+from tidelake.session import Scratch, read_table
 from tidelake.sources import exposition, ingest, tables
 from tidelake.streaming import rules
 
@@ -67,11 +67,12 @@ def codec_recompaction(spark, sf_dir):
     return _label(back.select("series_id", "ts", F.round("f", 6).alias("f")), store, ["event_type", "user_id"])
 
 
-@query(f"SELECT count(*) AS samples, 0 AS violations FROM ({EVENT_VALUE})")
+@query(f"SELECT count(*) AS samples, round(max(abs(f - {_Q} * {2 * BOUND})), 6) AS max_error, 0 AS violations, true AS smaller FROM ({EVENT_VALUE})")
 def codec_error_report(spark, sf_dir):
     store = _events(spark, sf_dir)
     chunks = codec.encode_chunks(codec.quantize(store.samples, BOUND), 1000)
-    return codec.report(store.samples, chunks, BOUND).select("samples", F.col("violations").cast("int").alias("violations"))
+    report = codec.report(store.samples, chunks, BOUND)
+    return report.select("samples", F.round("max_error", 6).alias("max_error"), F.col("violations").cast("int").alias("violations"), (F.col("ratio") > 1).alias("smaller"))
 
 
 _SPLIT = 1_705_000_000_000
@@ -173,21 +174,26 @@ def series_list(spark, sf_dir):
     return found.select(*[F.element_at("labels", F.lit(n)).alias(n) for n in ("event_type", "user_id")])
 
 
-@query(
-    f"SELECT 'event_value{{event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"}} 1 ' || CAST(t AS VARCHAR) AS value FROM ({EVENT_VALUE})"
-)
+_NUMBER = "CASE WHEN f = floor(f) THEN CAST(CAST(f AS BIGINT) AS VARCHAR) ELSE CAST(f AS VARCHAR) END"
+_LINE = "'event_value{event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"} ' || "
+
+
+@query(f"SELECT {_LINE}{_NUMBER} || ' ' || CAST(t AS VARCHAR) AS value FROM ({EVENT_VALUE})")
 def text_dump(spark, sf_dir):
-    store = _events(spark, sf_dir)
-    ones = Store(store.samples.withColumn("f", F.lit(1.0)), store.series)
-    return exposition.dump(ones, 0, 1 << 60)
+    return exposition.dump(_events(spark, sf_dir), 0, 1 << 60)
+
+
+def _payloads(lines, end=""):
+    """Lines as bodies of some thousand; a hash deals them out, to a number that their count gives."""
+    many = max(1, lines.count() // 4000)
+    dealt = lines.withColumn("p", F.pmod(F.xxhash64("value"), F.lit(many))).groupBy("p")
+    body = F.concat(F.array_join(F.collect_list("value"), "\n"), F.lit(f"\n{end}"))
+    return dealt.agg(body.alias("body")).select("body", F.lit(0).cast("long").alias("ts"))
 
 
 @query(f"SELECT event_type, count(*) AS n, round(sum(f), 4) AS total FROM ({EVENT_VALUE}) GROUP BY 1")
 def text_round_trip(spark, sf_dir):
-    lines = exposition.dump(_events(spark, sf_dir), 0, 1 << 60)
-    # A payload is some thousand lines; the hash deals them out without gathering a group of unknown size.
-    bodies = lines.withColumn("p", F.pmod(F.xxhash64("value"), F.lit(64))).groupBy("p").agg(F.array_join(F.collect_list("value"), "\n").alias("body"))
-    rows = exposition.read(bodies.select("body", F.lit(0).cast("long").alias("ts")))
+    rows = exposition.read(_payloads(exposition.dump(_events(spark, sf_dir), 0, 1 << 60)))
     rows = rows.groupBy(L.value(F.col("labels"), "event_type").alias("event_type"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f"), 4).alias("total"))
 
@@ -276,7 +282,9 @@ def stream_sliding_window(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
     stream = stream.select("event_type", F.col("ts").cast("timestamp").alias("at"), "value")
     out = rules.window_aggregate(stream, ["event_type"], 4 * DAY, 2 * DAY, 60 * DAY, [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")])
-    name = f"tidelake_stream_{abs(hash(sf_dir)) % 10**8}"
-    running = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    scratch = Scratch(spark, "stream")
+    # Results go to files, one set for each batch; complete mode rewrites them, so the last set is the answer.
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(scratch.path("result"))
+    running = out.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(scratch.path("result"))

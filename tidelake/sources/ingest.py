@@ -81,14 +81,12 @@ def metric_name(name: str, unit: str = "", monotonic_sum: bool = False, gauge: b
     """A name in lower-level form: words joined by one _, with the unit and _total or _ratio."""
     words = [w for w in re.split(r"[^a-zA-Z0-9:]+", name) if w]
     main, _, per = unit.partition("/")
-    suffixes = []
+    named = set(words)  # a unit that is a word of the name is not said again; one inside a word is
     if "{" not in main and (long := UNITS.get(main.strip(), main.strip())):
-        suffixes.append(re.sub(r"[^a-zA-Z0-9]+", "_", long).strip("_"))
-    if per and "{" not in per:
-        suffixes.append("per_" + PER_UNITS.get(per.strip(), per.strip()))
-    for s in suffixes:
-        if s and s not in "_".join(words).split("_") and s not in "_".join(words):
-            words.append(s)
+        parts = re.findall(r"[a-zA-Z0-9]+", long)
+        words += [] if named.issuperset(parts) else parts
+    if per and "{" not in per and (long := PER_UNITS.get(per.strip(), per.strip())) not in named:
+        words += ["per", long]
     if monotonic_sum:
         words = [w for w in words if w != "total"] + ["total"]
     if gauge and unit == "1":
@@ -103,11 +101,20 @@ def label_name(name: Column) -> Column:
     return F.when(clean.rlike(r"^[0-9]"), F.concat(F.lit("key_"), clean)).when(clean.rlike(r"^_[^_]"), F.concat(F.lit("key"), clean)).otherwise(clean)
 
 
+def _taken() -> Column:
+    return F.coalesce(F.col("temporality") == "cumulative", F.lit(False)) | F.col("kind").isin("gauge", "summary")
+
+
+def refused(points: DataFrame) -> DataFrame:
+    """The points that `translate` leaves out, by name, kind and temporality, with their number."""
+    return points.where(~_taken()).groupBy("name", "kind", "temporality").agg(F.count(F.lit(1)).alias("n"))
+
+
 def translate(points: DataFrame) -> DataFrame:
     """Telemetry data points to rows (metric, labels, ts, f[, h]).
 
     points: name (normalised), kind (gauge, sum, histogram, exponential, summary), temporality
-    (cumulative or delta; delta is refused), attributes and resource maps, ts, value, count,
+    (cumulative or delta; `refused` has the delta points), attributes and resource maps, ts, value, count,
     sum, bounds, counts (of explicit buckets), quantiles (array of q, v), and for exponential
     ones scale, zero_count, zero_threshold, pos_offset, pos, neg_offset, neg.
     service.namespace/service.name become job, service.instance.id instance."""
@@ -123,7 +130,7 @@ def translate(points: DataFrame) -> DataFrame:
     merged = F.transform(
         keys, lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.array_sort(F.filter(entries, lambda e: e["key"] == k)), lambda e: e["value"]), ";").alias("value"))
     )
-    p = points.where((F.col("temporality") == "cumulative") | F.col("kind").isin("gauge", "summary"))
+    p = points.where(_taken())
     p = p.withColumn("labels", L.normal(F.map_from_entries(F.concat(merged, own))))
     plain = p.where(F.col("kind").isin("gauge", "sum")).select(F.col("name").alias("metric"), "labels", "ts", F.col("value").alias("f"))
     h = p.where("kind = 'histogram'")
@@ -150,10 +157,10 @@ def translate(points: DataFrame) -> DataFrame:
     # Bucket `offset + k` of base 2**(2**-scale) is bucket offset + k + 1 of ours.
     spread = lambda offset, counts: F.map_from_entries(F.transform(counts, lambda c, k: F.struct((k + F.col(offset) + 1).cast("int").alias("key"), c.cast("double").alias("value"))))
     native = histograms.struct(
-        schema=F.least(F.col("scale"), F.lit(8)), zero_threshold=F.coalesce("zero_threshold", F.lit(0.0)), zero_count=F.col("zero_count").cast("double"),
+        schema=F.col("scale"), zero_threshold=F.coalesce("zero_threshold", F.lit(0.0)), zero_count=F.col("zero_count").cast("double"),
         count=F.col("count").cast("double"), sum=F.col("sum"), pos=spread("pos_offset", F.col("pos")), neg=spread("neg_offset", F.col("neg")),
     )
-    e = e.select(F.col("name").alias("metric"), "labels", "ts", F.lit(None).cast("double").alias("f"), histograms.compact(native).alias("h"))
+    e = e.select(F.col("name").alias("metric"), "labels", "ts", F.lit(None).cast("double").alias("f"), histograms.compact(histograms.to_schema(native, F.least(F.col("scale"), F.lit(8)))).alias("h"))
     info = p.select(
         F.lit("target_info").alias("metric"),
         L.normal(F.map_from_entries(F.concat(F.filter(renamed(F.col("resource")), lambda e: ~e["key"].isin("service_name", "service_namespace", "service_instance_id", "job", "instance")), own))).alias("labels"),

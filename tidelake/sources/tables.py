@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.model import Store
+from tidelake.model import Store, store_of
+from tidelake.operators import histograms
 from tidelake.operators import labels as L
 from tidelake.session import read_table
 
 
-def to_store(parts: list[tuple[str, DataFrame, list[str]]]) -> Store:
-    """A store from (metric, rows (ts, f, label columns...), label columns) of each metric.
+def to_store(parts: list[tuple[str, DataFrame, list[str]]], series_of: dict[str, DataFrame] | None = None) -> Store:
+    """A store from (metric, rows (ts, f, label columns...), label columns) of each metric;
+    `series_of` has the label columns of a metric where they are cheaper to tell.
 
     The id is a hash of metric and label columns; the labels themselves live in the series
     dimension alone, so samples stay narrow: four columns, and the metric is a literal that
@@ -24,7 +26,8 @@ def to_store(parts: list[tuple[str, DataFrame, list[str]]]) -> Store:
         identity = F.xxhash64(*key).alias("series_id")
         name = F.lit(metric).alias("metric")
         samples.append(rows.select(identity, name, "ts", F.col("f").cast("double").alias("f")))
-        distinct = rows.select(*names).distinct() if names else rows.limit(1)
+        known = (series_of or {}).get(metric, rows)
+        distinct = known.select(*names).distinct() if names else rows.limit(1)
         series.append(distinct.select(identity, name, L.of(names).alias("labels")))
     return Store(reduce(DataFrame.unionByName, samples), reduce(DataFrame.unionByName, series))
 
@@ -61,13 +64,27 @@ def lineitems(spark: SparkSession, sf_dir: str) -> Store:
         F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), _ms("l_shipdate").alias("ts"), "l_quantity"
     )
     quantity = rows.groupBy("returnflag", "linestatus", "ts").agg(F.sum("l_quantity").alias("f"))
-    bounds = F.array(*[F.lit(b) for b in (5.0, 10.0, 20.0, 40.0, float("inf"))])
-    bucket = rows.withColumn("bound", F.explode(bounds)).groupBy("returnflag", "bound", "ts")
-    bucket = bucket.agg(F.sum(F.when(F.col("l_quantity") <= F.col("bound"), 1).otherwise(0)).alias("n"))
-    order = Window.partitionBy("returnflag", "bound").orderBy("ts")
-    le = F.when(F.col("bound") == float("inf"), "+Inf").otherwise(F.format_string("%.0f", "bound"))
-    bucket = bucket.withColumn("f", F.sum("n").over(order)).withColumn("le", le)
-    return to_store([("line_quantity", quantity, ["returnflag", "linestatus"]), ("line_bucket", bucket, ["le", "returnflag"])])
+    bounds = {"5": 5.0, "10": 10.0, "20": 20.0, "40": 40.0, "+Inf": float("inf")}
+    # A sum for each bound in one aggregate; only its rows, a few for each day, are multiplied.
+    below = [F.sum(F.when(F.col("l_quantity") <= b, 1).otherwise(0)).alias(le) for le, b in bounds.items()]
+    counts = rows.groupBy("returnflag", "ts").agg(*below)
+    pairs = F.explode(F.array(*[F.struct(F.lit(le).alias("le"), F.col(f"`{le}`").alias("n")) for le in bounds])).alias("x")
+    bucket = counts.select("returnflag", "ts", pairs).select("returnflag", "ts", "x.le", "x.n")
+    order = Window.partitionBy("returnflag", "le").orderBy("ts")
+    bucket = bucket.withColumn("f", F.sum("n").over(order))
+    names = rows.select("returnflag").distinct().withColumn("le", F.explode(F.array(*[F.lit(le) for le in bounds])))
+    return to_store([("line_quantity", quantity, ["returnflag", "linestatus"]), ("line_bucket", bucket, ["le", "returnflag"])], {"line_bucket": names})
+
+
+def native_lines(spark: SparkSession, sf_dir: str) -> Store:
+    """line_native{returnflag}: a native histogram (schema 0) of a day's extended prices."""
+    rows = read_table(spark, sf_dir, "lineitem").where("l_extendedprice > 0").select(
+        F.col("l_returnflag").alias("returnflag"), _ms("l_shipdate").alias("ts"), F.ceil(F.log2("l_extendedprice")).cast("int").alias("k"), "l_extendedprice"
+    )
+    rows = rows.groupBy("returnflag", "ts", "k").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("l_extendedprice").alias("s"))
+    rows = rows.groupBy("returnflag", "ts").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("pos"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    h = histograms.struct(schema=F.lit(0), count=F.col("n"), sum=F.col("s"), pos=F.col("pos"))
+    return store_of(rows.select(F.lit("line_native").alias("metric"), L.of(["returnflag"]).alias("labels"), "ts", F.lit(None).cast("double").alias("f"), h.alias("h")))
 
 
 def dimensions(spark: SparkSession, sf_dir: str, ts: int = 0) -> Store:
