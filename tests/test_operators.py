@@ -142,7 +142,8 @@ HOST = {"city": "Lyon", "rack": "r17", "zone": "eu-west"}
         (Rule("keepequal", ("city",), target_label="rack"), None),
         (Rule("dropequal", ("city",), target_label="rack"), HOST),
         # labelmap copies, labeldrop and labelkeep choose by name, case actions write a new label.
-        (Rule("labelmap", regex="(c|z)(ity|one)", replacement="$2_$1"), {**HOST, "ity_c": "Lyon", "one_z": "eu-west"}),
+        (Rule("labelmap", regex="(c|z)(ity|one)", replacement="${2}_$1"), {**HOST, "ity_c": "Lyon", "one_z": "eu-west"}),
+        (Rule("labelmap", regex="(c)(ity)", replacement="$2_to_$1"), {**HOST, "c": "Lyon"}),
         (Rule("labeldrop", regex="r.*|city"), {"zone": "eu-west"}),
         (Rule("labelkeep", regex="r.*|city"), {"city": "Lyon", "rack": "r17"}),
         (Rule("uppercase", ("zone",), target_label="area"), {**HOST, "area": "EU-WEST"}),

@@ -537,8 +537,9 @@ def java_replacement(text: str) -> str:
             out += "\\$"
         elif name.isdigit():
             out += f"${name}"
-        else:
+        elif re.fullmatch(r"[a-zA-Z][a-zA-Z0-9]*", name):
             out += f"${{{name}}}"
+        # Other names (as in $1_x) are of no group and stand for nothing.
         at = m.end()
     return out + text[at:].replace("\\", "\\\\").replace("$", "\\$")
 

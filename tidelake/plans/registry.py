@@ -151,7 +151,10 @@ def _register(prefix: str, events: Grid, orders: Grid, lines: Grid, offsets: Gri
     _event("deriv", "deriv(event_value[8d])", _EL, windows(EVENT_VALUE, _EL, events, 8 * DAY, _slope, "count(*) > 1"), digits=9)
     _line = f"CASE WHEN min(f) = max(f) THEN min(f) ELSE regr_intercept(f, (t - step) / 1000.0) + 3600 * regr_slope(f, (t - step) / 1000.0) END"
     _event("predict_linear", "predict_linear(event_value[8d], 3600)", _EL, windows(EVENT_VALUE, _EL, events, 8 * DAY, _line, "count(*) > 1"), digits=4)
-    _order("double_exponential_smoothing", "double_exponential_smoothing(order_price[30d], 0.3, 0.6)", _OL, None)
+    _level = "0.3 * e[1] + 0.7 * (a[1] + a[2])"
+    _smooth = f"list_reduce([[x[1], x[2] - x[1]]] || list_transform(x[2:], lambda f: [f]), lambda a, e: [{_level}, 0.6 * ({_level} - a[1]) + 0.4 * a[2]])[1]"
+    _listed = windows(ORDER_PRICE, _OL, orders, 30 * DAY, "list(f ORDER BY t)", "count(*) > 1")
+    _order("double_exponential_smoothing", "double_exponential_smoothing(order_price[30d], 0.3, 0.6)", _OL, f"SELECT step, status, priority, {_smooth} AS v FROM (SELECT * RENAME (v AS x) FROM ({_listed}))", digits=3)
 
     # Aggregations.
     _rates = rate(EVENTS_TOTAL, _EL, events, 6 * DAY, "rate")
