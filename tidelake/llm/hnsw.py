@@ -31,7 +31,7 @@ SHARD = 32768
 QUERIES = 8192
 WIDTH = 16
 BUILD = 64
-SEARCH = 128
+SEARCH = 512
 
 
 class Graph:
