@@ -28,3 +28,13 @@ def test_shingle_sets_have_the_same_equalities(rows, width):
 def test_mix_is_one_to_one_on_a_sample():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(kernels.mix(x))) == len(x)
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts, st.integers(1, 40), st.one_of(st.none(), st.integers(1, 3)))
+def test_slices_cover_every_text_once(rows, most, bound):
+    _, offsets = kernels.string_buffers(pa.array(rows, pa.string()))
+    got = list(kernels.slices(offsets, most, bound))
+    assert [k for i, j in got for k in range(i, j)] == list(range(len(rows)))
+    assert all(j - i == 1 or offsets[j] - offsets[i] <= most for i, j in got)
+    assert all(j - i <= (bound or len(rows)) for i, j in got)

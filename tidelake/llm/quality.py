@@ -27,6 +27,8 @@ from tidelake.llm import kernels
 GRAM_BITS = 15
 PAIR_BITS = 14
 RUNS = 12
+#: Texts whose indicators are held at once, a byte for each slot; short and empty texts are many in a batch.
+ROWS = 512
 SLOTS = (1 << GRAM_BITS) + (1 << PAIR_BITS)
 _U = np.uint64
 
@@ -159,7 +161,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Qualit
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = kernels.string_buffers(batch.column("text"))
-            for i, j in kernels.slices(offsets, 1 << 18):
+            for i, j in kernels.slices(offsets, 1 << 18, ROWS):
                 owner, slot = indicators(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cuts = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -195,7 +197,7 @@ def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3) ->
             data, offsets = kernels.string_buffers(batch.column("text"))
             parts = [
                 model.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for i, j in kernels.slices(offsets, 1 << 18)
+                for i, j in kernels.slices(offsets, 1 << 18, ROWS)
             ]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
