@@ -39,7 +39,6 @@ from tidelake.session import Scratch, release
 SLOT_BYTES = 1 << 10
 LEAST_BITS, MOST_BITS = 20, 24
 BITMAP = 1024
-_COUNTED = 1 << 21
 _U = np.uint64
 
 
@@ -65,24 +64,11 @@ def frequency_levels(documents: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
-        runs, held = [], 0
-
-        def add() -> None:
-            slot = (np.concatenate(runs) >> _U(64 - bits)).astype(np.int64)
-            total[:] += np.bincount(slot, minlength=len(total))
-            runs.clear()
-
         for batch in batches:
             data, offsets = kernels.string_buffers(batch.column(0))
             for i, j in kernels.slices(offsets):
                 h, bounds = kernels.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                runs.append(kernels.shingles(h, bounds, width)[0])
-                held += len(runs[-1])
-                if held >= _COUNTED:
-                    add()
-                    held = 0
-        if runs:
-            add()
+                np.add.at(total, (kernels.shingles(h, bounds, width)[0] >> _U(64 - bits)).astype(np.int64), 1)
         slot = np.flatnonzero(total)
         kernels.tidy()
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])

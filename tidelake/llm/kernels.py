@@ -57,7 +57,7 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21, rows: int | None = None) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18, rows: int | None = None) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of about `most` bytes, and of at most `rows` texts where that is
     given; a longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
