@@ -24,7 +24,7 @@ from tidelake.llm.kernels import mix
 WINDOW = 12
 PERIOD = 48
 _U = np.uint64
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(400).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -34,7 +34,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, _PIECE + 4096), base, np.uint64)
+        steps = np.full(max(1 << n.bit_length(), _PIECE + 4096), base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps)
     return have[:n]

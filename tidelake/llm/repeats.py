@@ -48,7 +48,7 @@ PASSAGE = 280
 STEP = 16
 #: A context with more different zones is settled by strings' hashes, not in one task.
 FAMILY = 2048
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 
@@ -73,8 +73,8 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _pieces(offsets: np.ndarray, extra: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row i, row j, first byte, end, byte in the text): whole texts of about 1 MB
-    together, or 1 MB of a longer text and `extra` bytes more."""
+    """(row i, row j, first byte, end, byte in the text): whole texts of about 256 KB
+    together, or 256 KB of a longer text and `extra` bytes more."""
     for i, j in slices(offsets, _PIECE):
         a, b = int(offsets[i]), int(offsets[j])
         if j == i + 1 and b - a > 2 * _PIECE:
@@ -247,7 +247,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
 
 def _ordered(segments: DataFrame, length: int) -> DataFrame:
     """(_tk, _tl, lo, hi): runs of starts whose strings a neighbour in suffix order shares.
-    A task takes whole contexts, about 1 MB of segments together."""
+    A task takes whole contexts, about 256 KB of segments together."""
 
     def runs(table: pa.Table) -> pa.RecordBatch:
         parts = table.column("bytes").combine_chunks().cast(pa.large_binary())
