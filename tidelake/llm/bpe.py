@@ -27,7 +27,7 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from tidelake.llm.kernels import tidy
+from tidelake.llm.kernels import small_batches, tidy
 
 _KEPT = 150_000
 # str.split takes these four for white space, the file's pattern does not.
@@ -311,6 +311,7 @@ def _spec(path: str) -> str:
 
 
 def _with(df: DataFrame, drop: tuple[str, ...], *fields) -> tuple[DataFrame, StructType, list[str]]:
+    small_batches(df)
     columns = [c for c in df.columns if c.lower() not in drop]
     source = df.select(*[f"`{c}`" for c in columns])
     schema = StructType(list(source.schema.fields))

@@ -195,6 +195,7 @@ def link_components(documents: DataFrame, scratch: Scratch, width: int = 5, perc
     link as any copies do.  Other columns of the input are not looked at.  With `keyed` there
     are also rk, the text's text_key, and component, which identifies the component even
     without ids and is null for an empty set."""
+    kernels.small_batches(documents)
     levels = frequency_levels(documents, width)
     rows = prefixes(documents, width, percent, levels)
     rows = rows.withColumn("cid", F.xxhash64("n", "s1", "s2")).withColumn("gid", F.xxhash64("n", "prefix"))

@@ -13,7 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows of texts in an Arrow batch.
+BATCH = 1000
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,6 +131,14 @@ def distinct(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
+def small_batches(df: DataFrame) -> None:
+    """Have the session of `df` send at most `BATCH` rows at once to Python, unless it was given
+    a number of its own: a task holds a batch of texts twice, outside the JVM's heap and in the worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":  # Spark's own
+        conf.set(key, str(BATCH))
+
+
 def tidy() -> None:
     """Give memory that a task no longer uses back to the system, as workers live on."""
     pa.default_memory_pool().release_unused()

@@ -146,6 +146,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 6000) -> Qualit
     of a hash of doc_id.  Rows without text, id or label teach nothing; an id with
     several labels counts as its smallest, one with several texts as its greatest, so the
     bound holds for rows too.  doc_id may be of any type that orders as text."""
+    kernels.small_batches(documents)
     chosen = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
@@ -186,6 +187,7 @@ def score(documents: DataFrame, model: QualityModel, threshold: float = 0.3) ->
 
     The score depends on the text alone; a null text scores as an empty one.  Columns
     of these names in the input are replaced; all others stay as they are."""
+    kernels.small_batches(documents)
     kept = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
     source = documents.select(*[f"`{c}`" for c in kept])
     from pyspark.sql.types import DoubleType, IntegerType, StructType

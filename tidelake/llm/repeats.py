@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.kernels import mix, slices, string_buffers, tidy
+from tidelake.llm.kernels import mix, slices, small_batches, string_buffers, tidy
 from tidelake.llm.prefixfree import Hashes, repeated
 from tidelake.session import Scratch, release
 
@@ -387,6 +387,7 @@ def deduplicate(
     at least `MINIMUM`."""
     if passage is not None and passage > length:
         raise ValueError(f"passage {passage} is above length {length}")
+    small_batches(documents)
     added = ("kept", "n_bytes", "n_removed", "n_spans", *(["n_passage_bytes"] if passage else []))
     columns = [c for c in documents.columns if c.lower() not in added]
     source = documents.select(*[F.col(f"`{c}`") for c in columns], *_text_keys())
