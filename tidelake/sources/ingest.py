@@ -182,8 +182,9 @@ def unpivot(wide: DataFrame, dataset: str, keys: dict[str, str], columns: list[s
     sample a row in the given order, at a fixed distance in time."""
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy(*[F.col(c) for c in keys.values()]).orderBy(order)) - 1
-    rows = wide.withColumn("ts", (place * step_ms).cast("long"))
+    upto = Window.partitionBy(*[F.col(c) for c in keys.values()]).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.count(F.lit(1)).over(upto) - 1  # a row_number is an int, too short for the times of some 2 million rows
+    rows = wide.withColumn("ts", place * step_ms)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("f")) for c in columns])
     rows = rows.withColumn("x", F.explode(pairs)).where("x.f is not null")
     own = [x for label, c in keys.items() for x in (F.lit(label), F.col(c).cast("string"))]
